@@ -238,9 +238,7 @@ def forbidden_paths(graph: Graph, from_match: Column, to_match: Column) -> DataF
         frontier = cut(start.select("id", F.array("id").alias("path_ids"), F.lit(0).alias("hops")))
         seen = Levels()
         seen.add(frontier)
-        hop = 0
         while not frontier.empty:
-            hop += 1
             f = frontier.hinted().select(F.col("id").alias("next_id"), F.col("path_ids").alias("tail"))
             step = (
                 back.join(f, F.col("next") == F.col("next_id"))
@@ -249,7 +247,7 @@ def forbidden_paths(graph: Graph, from_match: Column, to_match: Column) -> DataF
             )
             frontier = cut(
                 step.join(seen.hinted().select("id"), "id", "left_anti").select(
-                    "id", F.concat(F.array("id"), "tail").alias("path_ids"), F.lit(hop).alias("hops")
+                    "id", F.concat(F.array("id"), "tail").alias("path_ids"), F.size("tail").alias("hops")
                 )
             )
             if not frontier.empty:
@@ -287,12 +285,13 @@ def cascade_orphans(refs: DataFrame, seed: DataFrame) -> DataFrame:
     try:
         need = cached(pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("need")))
         delta = cut(seed.select("id").distinct().withColumn("round", F.lit(0)))
-        taken, hits, rnd = Levels(), Levels(), 0
+        taken, hits = Levels(), Levels()
         taken.add(delta)
         while not delta.empty:
-            rnd += 1
             fresh = cut(
-                join_frontier(delta, pairs, F.col("src") == F.col("id")).groupBy("dst").agg(F.count(F.lit(1)).alias("hit"))
+                join_frontier(delta, pairs, F.col("src") == F.col("id"))
+                .groupBy("dst")
+                .agg(F.count(F.lit(1)).alias("hit"), F.max("round").alias("round"))
             )
             if fresh.empty:
                 break
@@ -301,12 +300,12 @@ def cascade_orphans(refs: DataFrame, seed: DataFrame) -> DataFrame:
                 hits.frame()
                 .join(fresh.hinted().select("dst"), "dst", "left_semi")
                 .groupBy("dst")
-                .agg(F.sum("hit").alias("hit"))
+                .agg(F.sum("hit").alias("hit"), F.max("round").alias("round"))
             )
             delta = cut(
                 need.join(total, "dst")
                 .where(F.col("hit") >= F.col("need"))
-                .select(F.col("dst").alias("id"), F.lit(rnd).alias("round"))
+                .select(F.col("dst").alias("id"), (F.col("round") + 1).alias("round"))
                 .join(taken.hinted().select("id"), "id", "left_anti")
             )
             if not delta.empty:
