@@ -194,7 +194,7 @@ def _block_refuted(rows: DataFrame, side: int, threshold: float, scale: float) -
     turns = [np.array(t) for t in quarter_turns(side)]
     norm = float(side * side * scale)
 
-    def worst(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def worst(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         same = key[1] == key[2]
         a = np.stack(pdf["sig"][pdf["left"]].to_list()) if pdf["left"].any() else np.empty((0, side * side))
         b = a if same else (np.stack(pdf["sig"][~pdf["left"]].to_list()) if (~pdf["left"]).any() else np.empty((0, side * side)))

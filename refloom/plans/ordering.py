@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.plans.runtime import cut
@@ -42,15 +42,6 @@ def global_positions(df: DataFrame, order: list[str], name: str = "pos") -> Data
 def positions_within(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """0-based position of each row inside its group; safe for groups larger than one task."""
     ranked = global_positions(df, group + order, "_gpos")
-    starts = ranked.groupBy(*group).agg(F.min("_gpos").alias("_start"))
-    eq = _null_safe(ranked, starts, group)
-    joined = ranked.join(starts, eq)
-    keep = [ranked[c] for c in df.columns]
-    return joined.select(*keep, (F.col("_gpos") - F.col("_start")).alias(name))
-
-
-def _null_safe(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & a[c].eqNullSafe(b[c])
-    return cond
+    starts = ranked.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group]).agg(F.min("_gpos").alias("_start"))
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    return ranked.join(starts, on).select(*df.columns, (F.col("_gpos") - F.col("_start")).alias(name))

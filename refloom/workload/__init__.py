@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("traversal",)
+MODULES = ("traversal", "audits", "duplicates", "documents")
 
 
 def load():
