@@ -75,10 +75,10 @@ def with_type(rows: DataFrame) -> DataFrame:
 def id_refs(entries: DataFrame) -> DataFrame:
     """(doc_id, owner, target): every internal reference an entry holds, in any depth."""
     text = F.to_json("entry")
-    return entries.where(F.col("idx").isNotNull()).select(
-        "doc_id", F.col("idx").alias("owner"),
-        F.explode(F.regexp_extract_all(text, F.lit(ID_PATTERN), F.lit(1))).cast("int").alias("target"),
+    held = entries.where(F.col("idx").isNotNull()).select(
+        "doc_id", F.col("idx").alias("owner"), F.explode(F.regexp_extract_all(text, F.lit(ID_PATTERN), F.lit(1))).alias("target")
     )
+    return held.withColumn("target", F.col("target").cast("int"))
 
 
 def first_referrer(refs: DataFrame) -> DataFrame:

@@ -31,26 +31,28 @@ def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "ver
     return changes.groupBy(key).agg(F.max_by(payload, F.col(version)).alias("_r")).select(key, "_r.*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def merge_refs(spark: SparkSession, table: str, changed: DataFrame, refs: DataFrame, buckets: int = BUCKETS) -> None:
     """Replace the references of ``changed`` (src, version) by ``refs`` (src, ref, kind)."""
     newest = cut(changed.groupBy("src").agg(F.max("version").alias("version")).withColumn("bucket", bucket_of("src", buckets)))
     fresh = refs.select("src", "ref", "kind").join(newest.df, "src").select("src", "ref", "kind", "version", "bucket")
-    try:
+    out, written = fresh, newest.df.select("src")
+    if _exists(spark, table):
         old = spark.read.schema(RAW_SCHEMA).parquet(table)
         old = old.join(F.broadcast(newest.df.select("bucket").distinct()), "bucket", "left_semi")  # at most ``buckets`` rows
         # an older change never overwrites a newer state
-        stale = old.groupBy("src").agg(F.max("version").alias("_have")).join(newest.df, "src").where(F.col("_have") > F.col("version")).select("src")
-        fresh = fresh.join(stale, "src", "left_anti")
+        have = old.groupBy("src").agg(F.max("version").alias("_have"))
+        stale = have.join(newest.df.select("src", "version"), "src").where(F.col("_have") > F.col("version")).select("src")
         replaced = newest.df.select("src").join(stale, "src", "left_anti")
         kept = old.join(replaced, "src", "left_anti").select("src", "ref", "kind", "version", "bucket")
-        out = kept.unionByName(fresh)
-    except Exception as e:  # noqa: BLE001 - only a table that does not exist yet is fine
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        out = fresh
+        out, written = kept.unionByName(fresh.join(stale, "src", "left_anti")), replaced
     # a document that lost its last reference keeps a marker row, so its bucket is still rewritten
-    markers = newest.df.select("src", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), "version", "bucket")
-    result = cut(out.where(F.col("ref").isNotNull()).unionByName(markers.join(out.where(F.col("ref").isNotNull()).select("src"), "src", "left_anti")))
+    markers = newest.df.join(written, "src", "left_semi").select("src", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), "version", "bucket")
+    result = cut(out.unionByName(markers.join(out.select("src"), "src", "left_anti")))
     result.df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
 
