@@ -37,10 +37,15 @@ def ref_at(entry, path: str):
     return F.try_variant_get(e, f"{path}.__id__", "int")
 
 
+def _is_list_text(col: str = "text"):
+    return F.col(col).rlike(r"^\s*\[")
+
+
 def parse_docs(docs: DataFrame) -> DataFrame:
     """(doc_id, v, is_list): parsed text; ``v`` is NULL for text that is not JSON."""
-    parsed = docs.select("doc_id", F.try_parse_json("text").alias("v"))
-    return parsed.withColumn("is_list", F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False)))
+    return docs.select("doc_id", F.try_parse_json("text").alias("v"), _is_list_text().alias("_l")).select(
+        "doc_id", "v", (F.col("_l") & F.col("v").isNotNull()).alias("is_list")
+    )
 
 
 def parse_failures(docs: DataFrame) -> DataFrame:
@@ -48,26 +53,33 @@ def parse_failures(docs: DataFrame) -> DataFrame:
 
 
 def doc_entries(docs: DataFrame, lists_only: bool = False) -> DataFrame:
-    """(doc_id, idx, type, entry).  A document that is one object is a single row with NULL idx."""
-    parsed = parse_docs(docs).where(F.col("v").isNotNull())
+    """(doc_id, idx, type, entry).  A document that is one object is a single row with NULL idx.
+
+    Each text is parsed once; text that is not JSON explodes to nothing.
+    """
     tvf = docs.sparkSession.tvf
     rows = (
-        parsed.where("is_list").select("doc_id", "v")
-        .lateralJoin(tvf.variant_explode(F.col("v").outer()))
+        docs.where(_is_list_text()).select("doc_id", "text")
+        .lateralJoin(tvf.variant_explode(F.try_parse_json(F.col("text").outer())))
         .select("doc_id", F.col("pos").alias("idx"), F.col("value").alias("entry"))
     )
     if not lists_only:
-        single = parsed.where(~F.col("is_list") & F.schema_of_variant("v").startswith("OBJECT")).select(
-            "doc_id", F.lit(None).cast("int").alias("idx"), F.col("v").alias("entry")
+        single = docs.where(F.col("text").rlike(r"^\s*\{")).select(
+            "doc_id", F.lit(None).cast("int").alias("idx"), F.try_parse_json("text").alias("entry")
         )
-        rows = rows.unionByName(single)
+        rows = rows.unionByName(single.where(F.col("entry").isNotNull()))
     return with_type(rows)
 
 
+def entry_table(entries: DataFrame) -> DataFrame:
+    """Entries at rest, hashed by (doc_id, idx): a huge document spreads over all tasks, and the many
+    joins on that key that follow find their larger side already in place."""
+    return cut(entries.repartition("doc_id", "idx")).df
+
+
 def with_type(rows: DataFrame) -> DataFrame:
-    is_obj = F.schema_of_variant("entry").startswith("OBJECT")
     # only a JSON string is a type; numbers and objects under the key are not
-    tag = F.when(is_obj, F.try_variant_get("entry", "$.__type__", "variant"))
+    tag = F.try_variant_get("entry", "$.__type__", "variant")
     text = F.when(F.schema_of_variant(tag) == "STRING", F.try_variant_get("entry", "$.__type__", "string"))
     return rows.select("doc_id", "idx", text.alias("type"), "entry")
 

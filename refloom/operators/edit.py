@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from refloom.operators.documents import (
     COMP_INFO_TYPE, CROSS_REF_TYPE, DOC_TYPE, INFO_TYPE, INSTANCE_TYPE, OVERRIDE_TYPE, SCENE_TYPE, TARGET_TYPE,
-    id_refs, is_node_type, ref_at, with_type,
+    entry_table, id_refs, is_node_type, ref_at, with_type,
 )
 from refloom.operators.traverse import cascade_orphans, is_descendant, walk
 from refloom.operators.validate import child_refs, instance_roots
@@ -338,7 +338,7 @@ def delete_entries(entries: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
 
     Roots, scenes, bookkeeping entries and subtrees holding a nested instance are refused.
     """
-    rows = cut(entries.where(F.col("idx").isNotNull())).df
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     facts = rows.select(
         "doc_id", "idx", "type", is_node_type().alias("is_node"), ref_at("entry", "$._parent").alias("parent"), ref_at("entry", "$.node").alias("owner"),
         ref_at("entry", "$.__prefab").alias("comp_info"),
@@ -360,7 +360,7 @@ def delete_entries(entries: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     comps = good.where(~F.col("is_node"))
     own = comps.select("doc_id", "idx").unionByName(comps.where(F.col("comp_info").isNotNull()).select("doc_id", F.col("comp_info").alias("idx")))
     gone = cut(owned_closure(rows, trees.unionByName(own).distinct())).df
-    out, cleared = compact(entries, gone)
+    out, cleared = compact(rows.unionByName(entries.where(F.col("idx").isNull()).select(*rows.columns)), gone)
     report = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("removed")).join(cleared, "doc_id", "left").select(
         "doc_id", "removed", F.coalesce("cleared", F.lit(0)).cast("long").alias("cleared")
     )
@@ -533,7 +533,7 @@ def upsert_overrides(entries: DataFrame, wants: DataFrame) -> tuple[DataFrame, D
     An override of the same property is updated in place; otherwise a target and an override entry are
     appended and linked.  The baked value on the node follows.
     """
-    rows = cut(entries.where(F.col("idx").isNotNull())).df
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     roots = instance_roots(rows).select("doc_id", "node", "inst", "file_id")
     judged = cut(wants.join(roots, ["doc_id", "node"], "left").withColumn("error", F.when(F.col("inst").isNull(), F.lit("not a nested-instance root")))).df
     ok = judged.where(F.col("error").isNull()).drop("error")
@@ -578,7 +578,7 @@ def add_cross_refs(entries: DataFrame, wants: DataFrame) -> tuple[DataFrame, Dat
     """
     from refloom.operators.validate import cross_references
 
-    rows = cut(entries.where(F.col("idx").isNotNull())).df
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     outer = rows.where(F.col("idx") == 0).select("doc_id", F.coalesce(ref_at("entry", "$.data"), F.lit(1)).alias("idx"))
     outer = rows.join(outer, ["doc_id", "idx"]).select("doc_id", ref_at("entry", "$._prefab").alias("outer_info"))
     infos = rows.where(F.col("type") == INFO_TYPE).select("doc_id", F.col("idx").alias("outer_info"))
@@ -651,7 +651,7 @@ def apply_batch(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFram
     """
     ops = cut(ops.withColumn("seq", F.col("seq").cast("int"))).df
     order = [int(r["seq"]) for r in ops.select("seq").distinct().orderBy("seq").collect()]  # one row per step
-    cur, failed = cut(entries).df, []
+    cur, failed = entry_table(entries), []
     for seq in order:
         step = cut(ops.where(F.col("seq") == seq)).df
         kinds = {r["kind"] for r in step.select("kind").distinct().collect()}  # a handful of op names
@@ -675,7 +675,7 @@ def apply_batch(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFram
             else:
                 notes = rows.select("doc_id", F.lit("error").alias("level"), F.lit(f'unknown edit op "{kind}"').alias("note"))
             failed.append(cut(notes.where(F.col("level") == "error").select("doc_id", F.lit(seq).alias("seq"), F.col("note").alias("error"))).df)
-            cur = cut(cur).df
+            cur = entry_table(cur)
     errors = union_all(failed) if failed else ops.select("doc_id", "seq", F.lit("").alias("error")).where(F.lit(False))
     bad_docs = errors.select("doc_id").distinct()
     cols = ["doc_id", "idx", "type", "entry"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.scalar import base, decode_token, encode_token, looks_compressed, main_id, sub_id
 from refloom.model import edges_from_links
-from refloom.operators.documents import hosts, node_paths, walk_refs
+from refloom.operators.documents import entry_table, hosts, node_paths, walk_refs
 from refloom.plans.runtime import cut
 
 RAW = ["src", "ref", "node_path", "component", "property"]
@@ -28,7 +28,7 @@ def document_refs(entries: DataFrame) -> DataFrame:
 
     Entries of a list document get the path of their owning node and their own type as the site.
     """
-    rows = cut(entries).df
+    rows = entry_table(entries)
     found = walk_refs(rows).where(F.col("what") != "truncated")
     wired = handler_refs(rows).select("doc_id", "idx", F.lit("handler").alias("what"), "ref", "property")
     paths = node_paths(rows, "skip", any_type=True).select("doc_id", F.col("idx").alias("host"), F.col("path").alias("node_path"))

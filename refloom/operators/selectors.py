@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.scalar import base, decode_token, looks_compressed
-from refloom.operators.documents import INFO_TYPE, is_node_type, node_paths, ref_at
+from refloom.operators.documents import INFO_TYPE, entry_table, is_node_type, node_paths, ref_at
 from refloom.operators.validate import child_refs
 from refloom.plans.ordering import positions_within
 from refloom.plans.runtime import Levels, cut
@@ -59,7 +59,7 @@ def list_nodes(
     (doc_id, order_key) gives depth-first order.  Components are (doc_id, node, comp, name, selector).
     ``under`` (doc_id, idx) lists subtrees only.
     """
-    rows = cut(entries.where(F.col("idx").isNotNull())).df
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     index = cut(disambiguated(node_index(rows))).df
     nodes_only = rows.where(is_node_type())
     kids = cut(child_refs(nodes_only.select("doc_id", "idx", "type", "entry"), "$._children").where(F.col("target").isNotNull())).df
@@ -112,7 +112,7 @@ def resolve_selectors(selectors: DataFrame, entries: DataFrame, nodes: DataFrame
     Forms: ``path[i]``, ``path:Type[i]``, ``path:Type[i].prop`` and ``#n.prop``.  A literal path wins
     over reading ``[i]`` as a rank; anything ambiguous is an error, never a guess.
     """
-    rows = cut(entries.where(F.col("idx").isNotNull())).df
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     wanted = cut(selectors.select("doc_id", "selector").distinct())
     in_docs = rows.join(wanted.hinted().select("doc_id"), "doc_id", "left_semi")
     index = cut(node_index(in_docs)).df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.operators.documents import (
-    CROSS_REF_TYPE, INFO_TYPE, INSTANCE_TYPE, OVERRIDE_TYPE, id_refs, is_node_type, node_paths, ref_at,
+    CROSS_REF_TYPE, INFO_TYPE, INSTANCE_TYPE, OVERRIDE_TYPE, entry_table, id_refs, is_node_type, node_paths, ref_at,
 )
 from refloom.plans.runtime import cut, union_all
 
@@ -43,12 +43,12 @@ def validate_docs(docs: DataFrame, entries: DataFrame, known_types: DataFrame |
     ``docs`` is (doc_id, is_list, v) from ``parse_docs``; ``known_types`` (type) enables the check that
     a type outside the built-in namespace names a known class.
     """
-    rows = cut(
+    rows = entry_table(
         entries.where(F.col("idx").isNotNull()).select(
             "doc_id", "idx", "type", is_node_type().alias("is_node"), ref_at("entry", "$._parent").alias("parent"),
             ref_at("entry", "$.node").alias("node"), F.schema_of_variant("entry").alias("_s"), "entry",
         )
-    ).df
+    )
     facts = rows.select("doc_id", "idx", "type", "is_node", "parent", "node", "_s")
     refs = cut(id_refs(rows.select("doc_id", "idx", "type", "entry"))).df
     nodes = rows.where("is_node").select("doc_id", "idx", "type", "entry")
@@ -115,7 +115,7 @@ def instance_overrides(entries: DataFrame) -> DataFrame:
 
     An override is on the root when its target is exactly the host's own file id.
     """
-    rows = entries.where(F.col("idx").isNotNull())
+    rows = entry_table(entries.where(F.col("idx").isNotNull()))
     inst = rows.where(F.col("type") == INSTANCE_TYPE)
     ov = child_refs(inst, "$.propertyOverrides").select("doc_id", F.col("idx").alias("inst"), F.col("target").alias("ov"))
     infos = rows.where(F.col("type") == OVERRIDE_TYPE).select(
