@@ -16,7 +16,7 @@ from refloom.plans.runtime import session_tuning  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     builder = SparkSession.builder.master("local[4]").appName("refloom-tests").config("spark.driver.memory", "6g")
-    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).config("spark.ui.showConsoleProgress", "false")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false")
     s = session_tuning(builder, 4).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
