@@ -266,7 +266,7 @@ def stem_call_edges(spark, sf):
     return xt.stem_call_edges(calls, nodes, "page", "track", "track")
 
 
-@query("""WITH s AS (SELECT 'P' || p_partkey AS src, p_brand, p_type, p_partkey % 2 = 0 AS one FROM part)
+@query("""WITH s AS (SELECT 'P' || p_partkey AS src, p_brand, p_type, p_size > 25 AS one FROM part)
 SELECT src, p_brand || '/' || p_type AS dst, 'resource-load' AS kind, 'resources.load(''' || p_brand || '/' || p_type || ''')' AS label FROM s WHERE one
 UNION ALL SELECT DISTINCT src, t.p_brand || '/' || t.p_type, 'resource-load', 'resources.loadDir(''' || s.p_brand || ''')' FROM s JOIN (SELECT DISTINCT p_brand, p_type FROM part) t USING (p_brand) WHERE NOT one""")
 def call_edges(spark, sf):
@@ -274,7 +274,7 @@ def call_edges(spark, sf):
     p = table(spark, sf, "part")
     one = F.concat(F.lit("resources.load('"), "p_brand", F.lit("/"), "p_type", F.lit("', cb);"))
     many = F.concat(F.lit("resources.loadDir( \""), "p_brand", F.lit("\")"))
-    src = p.select(key("P", "p_partkey").alias("id"), F.concat(F.lit("// js\n"), F.when(F.col("p_partkey") % 2 == 0, one).otherwise(many)).alias("text"))
+    src = p.select(key("P", "p_partkey").alias("id"), F.concat(F.lit("// js\n"), F.when(F.col("p_size") > 25, one).otherwise(many)).alias("text"))
     nodes = p.select("p_brand", "p_type").distinct().select(
         F.concat_ws("/", "p_brand", "p_type").alias("id"), F.concat(F.lit("resources/"), "p_brand", F.lit("/"), "p_type", F.lit(".png")).alias("path"), F.lit(True).alias("has_source")
     )
@@ -490,10 +490,10 @@ def diff_versions(spark, sf):
     return ed.entry_diff(e, new.unionByName(tail)).select("doc_id", "idx", "change")
 
 
-@query("SELECT doc_id, quality::INTEGER AS expected_version, quality = (doc_id % 2) AS applied FROM labels")
+@query("SELECT doc_id, quality::INTEGER AS expected_version, quality = (lang = 'en')::INTEGER AS applied FROM labels JOIN documents USING (doc_id)")
 def require_version(spark, sf):
     """Instructions refused when the document has moved on."""
-    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("version"))
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("lang") == "en").cast("int").alias("version"))
     ops = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("expected_version"))
     good, bad = ed.require_version(ops, docs)
     return good.withColumn("applied", F.lit(True)).unionByName(bad.withColumn("applied", F.lit(False)))

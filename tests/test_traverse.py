@@ -37,7 +37,7 @@ def ids_df(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_closure_matches_bfs(spark, make, seed):
     ids, edges, adj = digraph(seed)
     g = make(ids, edges)
@@ -62,7 +62,7 @@ def test_many_roots_path_gives_the_same_answer(spark, make, monkeypatch):
             assert got == want
 
 
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed", [4])
 def test_cycle_members_match_mutual_reach(spark, make, seed):
     ids, edges, adj = digraph(seed, 12, 20)
     reach = {i: set(bfs(adj, i)) for i in ids}
