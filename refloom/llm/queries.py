@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, quality, sharding, simhash, substrings
+from refloom.llm import bpe, lines, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLE["op2_line_dedup"] = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS raws FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(raws) AS raw, unnest(range(len(raws))) AS line FROM parts),
+n AS (SELECT *, trim(translate(lower(raw), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS t, doc_id * 1000000000 + line AS place FROM l),
+d AS (SELECT t, length(t) AS size, min(place) AS place FROM n WHERE t <> '' GROUP BY t),
+sizes AS (SELECT *, size AS short FROM d UNION ALL SELECT *, size - 1 AS short FROM d),
+halves AS (SELECT *, left(t, short // 2) AS low, right(t, short - short // 2) AS high FROM sizes),
+pairs AS (
+  SELECT a.t, a.size, a.place, b.t AS ot, b.size AS osize, b.place AS oplace FROM halves a JOIN halves b ON a.short = b.short AND a.low = b.low AND a.size = a.short AND a.t <> b.t
+  UNION
+  SELECT a.t, a.size, a.place, b.t AS ot, b.size AS osize, b.place AS oplace FROM halves a JOIN halves b ON a.short = b.short AND a.high = b.high AND a.size = a.short AND a.t <> b.t),
+close AS (SELECT * FROM pairs WHERE CASE WHEN size = osize
+  THEN len(list_filter(range(1, size + 1), lambda i: substr(t, i, 1) <> substr(ot, i, 1))) = 1
+  ELSE len(list_filter(range(0, size + 1), lambda i: left(t, i) = left(ot, i) AND substr(t, i + 1) = substr(ot, i + 2))) > 0 END),
+near AS (SELECT t, min(oplace) AS place FROM (SELECT t, oplace FROM close UNION ALL SELECT ot AS t, place AS oplace FROM close) GROUP BY t),
+firsts AS (SELECT d.t, least(d.place, coalesce(near.place, d.place)) AS place FROM d LEFT JOIN near ON d.t = near.t),
+flags AS (SELECT n.*, coalesce(n.place > firsts.place, false) AS gone FROM n LEFT JOIN firsts ON n.t = firsts.t),
+kept AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM flags GROUP BY doc_id)
+SELECT doc_id, text, n_lines, n_removed FROM kept UNION ALL SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
