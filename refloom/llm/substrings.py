@@ -235,6 +235,10 @@ def repeats(docs: DataFrame, window: int = 50, buckets: int | None = None) -> tu
 
         packer = _Packer(buckets, settle, 8)
         for rows, texts in _unzipped(batches):
+            some = [d for d, row in enumerate(rows) if row["places"]]
+            if not some:
+                continue
+            rows, texts = [rows[d] for d in some], [texts[d] for d in some]
             words = _joined(texts)
             start, hashes = words.windows(words.hashes(), window)
             near = np.zeros(len(words), bool)
@@ -251,7 +255,8 @@ def repeats(docs: DataFrame, window: int = 50, buckets: int | None = None) -> tu
         if out := packer.flush():
             yield _batch(out)
 
-    windows = zipped.join(found, "doc_id").select("doc_id", "body", "places").mapInArrow(extend, PACKED)
+    # a left join, as the second one is: so both read one exchange of the texts
+    windows = zipped.join(found, "doc_id", "left").select("doc_id", "body", "places").mapInArrow(extend, PACKED)
     removed = _meet(windows, lambda hashes, ids, places: _later(hashes, ids), 8)
     return zipped, removed.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "places")).alias("found"))
 
