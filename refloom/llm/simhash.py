@@ -68,13 +68,13 @@ def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long."""
+    """(doc_id, text_id, print): xxhash64 of the text, and the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text"), shingle).view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(fingerprints(batch.column("text"), shingle).view(np.int64))], ["doc_id", "text_id", "print"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id long, print long")
 
 
 def near_pairs(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def _slabs(group: np.ndarray, most: int = SLAB) -> Iterator[tuple[int, int]]:
 
 
 def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, print, component_id, n_copies): the smallest doc_id that links reach, and how many rows have the print."""
+    """(doc_id, text_id, print, component_id, n_copies): the smallest doc_id that links reach, and how many rows have the print."""
     prints = cut(with_fingerprints(docs, shingle)).df
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("_doc"), F.count(F.lit(1)).alias("n_copies"))).df
     roots = components(near_edges(distinct.select("print"), radius))
@@ -202,7 +202,25 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     placed = placed.where("_linked or n_copies > 1")
     least = placed.groupBy(F.col("_root").alias("_r")).agg(F.min("_doc").alias("component_id"))
     groups = cut(placed.join(least, F.col("_root") == F.col("_r")).select(F.col("print").alias("_print"), "component_id", "n_copies")).hinted()
-    return prints.join(groups, F.col("print") == F.col("_print"), "left").select("doc_id", "print", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return prints.join(groups, F.col("print") == F.col("_print"), "left").select("doc_id", "text_id", "print", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The document with the smallest doc_id of each component, with its own columns; of repeated rows one stays.
+
+    Documents with a null doc_id stay only where no other id is in their component, and then one for each text.
+    """
+    found = cut(near_components(docs, shingle, radius)).df
+    lost = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "text_id").distinct()
+    again = found.groupBy("doc_id", "text_id").count().where("count > 1").select("doc_id", "text_id")
+    same = lambda side: docs["doc_id"].eqNullSafe(side["_doc"]) & (F.xxhash64(docs["text"]) == side["_id"])
+    named = lambda df: cut(df.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_id")))
+    lost, again = named(lost), named(again)  # broadcast below only if they were measured to be small
+    sides = (lost.hinted(), again.hinted())
+    kept = docs.join(sides[0], same(sides[0]), "left_anti")
+    if again.empty:
+        return kept
+    return kept.join(sides[1], same(sides[1]), "left_anti").unionByName(kept.join(sides[1], same(sides[1]), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def hex_print(column: str = "print"):

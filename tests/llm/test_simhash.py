@@ -55,6 +55,16 @@ def test_documents(spark):
     assert simhash.near_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_component_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, a), (None, None), (5, ""), (4, "other"), (4, "other"), (4, "OTHER")]
+    df = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int, text_id int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, (r.text or "").lower()[:5]) for r in kept.collect()) == [(1, "a0 a1"), (2, "b0 b1"), (4, "other"), (4, "other"), (5, "")]
+    assert simhash.keep_one(df.where("k < 2")).count() == 1 and simhash.keep_one(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_counters(radius):
     rng = np.random.default_rng(radius)
