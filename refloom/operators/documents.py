@@ -22,7 +22,6 @@ OVERRIDE_TYPE = "CCPropertyOverrideInfo"
 TARGET_TYPE = "cc.TargetInfo"
 CROSS_REF_TYPE = "cc.TargetOverrideInfo"
 HOST_HOPS = 6
-WALK_LEVELS = 32
 ID_PATTERN = r'"__id__":(-?\d+)'
 
 
@@ -191,14 +190,13 @@ def _cycle_paths(looped: DataFrame) -> DataFrame:
 def walk_refs(entries: DataFrame) -> DataFrame:
     """(doc_id, idx, what, ref, property): reference leaves and type tokens of each entry's own content.
 
-    ``what`` is ``ref`` for ``__uuid__`` leaves, ``type`` for ``__type__`` tokens and ``truncated`` for
-    content nested deeper than 32 levels.  Internal references are not followed.  Each round opens one
-    nesting level of all entries at once with ``variant_explode``; there is no shuffle.
+    ``what`` is ``ref`` for ``__uuid__`` leaves and ``type`` for ``__type__`` tokens, at any depth.
+    Internal references are not followed.  Each round opens one nesting level of all entries at once
+    with ``variant_explode``; there is no shuffle.
     """
     tvf = entries.sparkSession.tvf
     level = cut(_containers(entries.select("doc_id", "idx", F.lit("").alias("property"), F.col("entry").alias("v"))))
     out = Levels()
-    depth = 0
     while not level.empty:
         marked = level.df.select("*", _leaf("__uuid__").alias("uuid"), _leaf("__type__").alias("tag"),
                                  F.try_variant_get("v", "$.__id__", "variant").isNotNull().alias("is_id"))
@@ -207,14 +205,7 @@ def walk_refs(entries: DataFrame) -> DataFrame:
         inner = marked.where((F.coalesce("uuid", F.lit("")) == "") & ~F.col("is_id"))
         tags = inner.where(F.col("tag").isNotNull()).select(
             "doc_id", "idx", F.lit("type").alias("what"), F.col("tag").alias("ref"), "property")
-        emitted = refs.unionByName(tags)
-        depth += 1
-        if depth >= WALK_LEVELS:
-            emitted = emitted.unionByName(
-                inner.select("doc_id", "idx", F.lit("truncated").alias("what"), F.lit(None).cast("string").alias("ref"), "property"))
-            out.add(cut(emitted))
-            break
-        out.add(cut(emitted))
+        out.add(cut(refs.unionByName(tags)))
         step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
         opened = (
             inner.select("doc_id", "idx", "property", "v")

@@ -29,7 +29,7 @@ def document_refs(entries: DataFrame) -> DataFrame:
     Entries of a list document get the path of their owning node and their own type as the site.
     """
     rows = entry_table(entries)
-    found = walk_refs(rows).where(F.col("what") != "truncated")
+    found = walk_refs(rows)
     wired = handler_refs(rows).select("doc_id", "idx", F.lit("handler").alias("what"), "ref", "property")
     paths = node_paths(rows, "skip", any_type=True).select("doc_id", F.col("idx").alias("host"), F.col("path").alias("node_path"))
     place = hosts(rows).join(paths, ["doc_id", "host"], "left").select("doc_id", "idx", "node_path")

@@ -85,10 +85,10 @@ def suggest_names(queries: DataFrame, nodes: DataFrame, k: int = SUGGESTIONS) ->
     lengths = cut(forms.agg(F.max(F.greatest(F.length("form"), F.length("nb"))).alias("m"))).df.scalar()
     # tolerance max(2, 40 % of the longer name) bounds which lengths can match
     ql = F.length("qb")
-    upper = F.greatest(F.floor(ql / F.lit(0.6)), ql + 2)
-    qkeys = cut(
-        q.select("query", "qb", F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.greatest(upper, lengths), lengths), F.lit(0)))).alias("flen"))
-    )
+    # (of the whole name, which may be longer than the form by its extension)
+    reach = F.greatest(F.lit(2), F.floor(F.greatest(ql, F.coalesce(lengths, F.lit(0))) * F.lit(0.4)).cast("int"))
+    lower, upper = F.greatest(ql - reach, F.lit(0)), F.least(ql + reach, F.coalesce(lengths, F.lit(0)))
+    qkeys = cut(q.where(lower <= upper).select("query", "qb", F.explode(F.sequence(lower, upper)).alias("flen")))
     tol = F.greatest(F.lit(2), F.floor(F.greatest(F.length("qb"), F.length("nb")) * F.lit(0.4))).cast("int")
     near = keyed.join(
         qkeys.hinted(),

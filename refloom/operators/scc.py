@@ -1,8 +1,10 @@
 """Cycle groups: strongly connected components with at least two members.
 
-Trim nodes that cannot lie on a cycle, then colour forwards with the largest ancestor id and walk
-backwards inside each colour; the walk from a colour's own node is exactly its component.  Whatever
-is left goes round again.  Every step is a join plus a partial aggregate over the remaining edges.
+Trim nodes that cannot lie on a cycle, then colour forwards with the ancestor of the largest rank and
+walk backwards inside each colour; the walk from a colour's own node is exactly its component.
+Whatever is left goes round again.  Ranks are hashes of the ids, so a chain of components falls into
+pieces in every round and the number of rounds grows with the logarithm of its length, whatever the
+order of the ids.  Every step is a join plus a partial aggregate over the remaining edges.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 
 from refloom.plans.runtime import Cut, Levels, cut
 
-MAX_ROUNDS = 200
+
+def _rank(col: str):
+    """A value for each id whose order has nothing to do with the order of the ids."""
+    return F.concat(F.lpad(F.hex(F.xxhash64(col)), 16, "0"), F.lit("|"), F.col(col).cast("string"))
 
 
 def _trim(edges: Cut) -> Cut:
@@ -31,9 +36,9 @@ def _trim(edges: Cut) -> Cut:
 
 
 def _colour(edges: DataFrame) -> DataFrame:
-    """(id, color): the largest id that reaches each node, itself included."""
+    """(id, color): the largest rank that reaches each node, its own included."""
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    state = cut(ends.withColumn("color", F.col("id")).withColumn("moved", F.lit(True)))
+    state = cut(ends.withColumn("color", _rank("id")).withColumn("moved", F.lit(True)))
     changed = state
     while not changed.empty:
         push = (
@@ -55,11 +60,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     """(group, member) for every node on a cycle through at least one other node; group = max member."""
     live = _trim(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
     found = Levels()
-    rounds = 0
     while not live.empty:
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError(f"cycle search did not converge in {MAX_ROUNDS} rounds")
         colors = cut(_colour(live.df))
         c = colors.hinted()
         inside = cut(
@@ -69,7 +70,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
             .select("src", "dst", F.col("cs").alias("color"))
         )
         got = Levels()
-        frontier = cut(colors.df.where(F.col("id") == F.col("color")).select("color", F.col("id").alias("node")))
+        frontier = cut(colors.df.where(_rank("id") == F.col("color")).select("color", F.col("id").alias("node")))
         got.add(frontier)
         while not frontier.empty:
             back = (
@@ -92,8 +93,8 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     if not found.rows:
         return edges.select(F.col("src").alias("group"), F.col("dst").alias("member")).where(F.lit(False))
     members = found.frame()
-    big = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).select("group")
-    return members.join(big, "group", "left_semi")
+    named = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.max("member").alias("_name")).where(F.col("_n") >= 2)
+    return members.join(named, "group").select(F.col("_name").alias("group"), "member")
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:

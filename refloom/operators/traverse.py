@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.model import Graph
-from refloom.plans.runtime import Cut, Levels, cached, cut, join_frontier, union_all
+from refloom.plans.runtime import BROADCAST_BYTES, Cut, Levels, cached, cut, join_frontier, union_all
 
 
-# Above this many starting points a walk partitions the links by source before its first hop.
-MANY_ROOTS = 50_000
 # A first hop with this many times more pairs than distinct targets is continued from the targets.
 HUB_FACTOR = 4
 
@@ -75,19 +73,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 def walk(links: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, node, hops) including each root at hop 0; ``roots`` has columns (root, node).
 
-    From a few roots the links stay where they were read and small frontiers are broadcast to them.
-    From many roots the links are hash-partitioned by source once, so that no later hop moves them,
-    and when the first hop lands on far fewer nodes than it has pairs (hubs), the walk continues from
-    those nodes alone and is joined back once, instead of dragging every pair through every hop.
+    When the first hop lands on far fewer nodes than it has pairs (hubs), at any size, the walk
+    continues from those nodes alone and is joined back once, instead of dragging every pair through
+    every hop.  Starting points too large to be broadcast get the links hash-partitioned by source
+    once, so that no later hop moves them.
     """
     frontier = cut(roots.select("root", "node").distinct().withColumn("hops", F.lit(0)))
     adj = links.select("src", "dst")
-    many = frontier.rows > MANY_ROOTS
-    if many:
+    if frontier.nbytes > BROADCAST_BYTES:
         adj = adj.repartition("src").dropDuplicates(["src", "dst"])
     adj = cached(adj)
     try:
-        if many and (max_hops is None or max_hops > 1):
+        if max_hops is None or max_hops > 1:
             first = _hop(frontier, adj, frontier.df)
             via = cut(first.df.select(F.col("node").alias("root"), "node", F.lit(0).alias("hops")).distinct())
             if via.rows * HUB_FACTOR <= first.rows:
@@ -104,11 +101,12 @@ def walk(links: DataFrame, roots: DataFrame, max_hops: int | None = None) -> Dat
 
 
 def _hop(frontier: Cut, adj: DataFrame, known: DataFrame) -> Cut:
-    # hops is carried, not written as a literal, so every hop reuses the same generated code
+    # hops is carried, not written as a literal, so every hop reuses the same generated code; it is the
+    # same for all pairs, so (root, node) alone tells them apart and the next join needs no other exchange
     step = (
         join_frontier(frontier, adj, F.col("node") == F.col("src"))
         .select("root", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"))
-        .distinct()
+        .dropDuplicates(["root", "node"])
     )
     return cut(step.join(known.select("root", "node"), ["root", "node"], "left_anti"))
 

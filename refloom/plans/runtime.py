@@ -2,11 +2,12 @@
 
 Every iterative operator is a driver loop whose state lives in reliable checkpoints, so a lost
 executor never loses an iteration.  The checkpoint folder is the one the cluster names in
-``spark.checkpoint.dir``; only when that is unset (tests, a laptop) is a scratch folder used.
+``spark.checkpoint.dir``; a scratch folder is used only when that is unset and Spark runs in one process.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 from functools import reduce
@@ -28,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not re.match(r"local($|\[)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -55,10 +58,11 @@ def _payload(df: DataFrame) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
-        elif isinstance(f.dataType, T.ArrayType):
-            parts.append(F.coalesce(F.size(c), F.lit(0)) * 48)
-        elif isinstance(f.dataType, (T.StructType, T.MapType)):
-            parts.append(F.lit(256))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
+            parts.append(F.coalesce(F.size(c), F.lit(0)) * 8 + 16)
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            # elements are measured; the text form is longer than the binary one
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), F.lit(0)) + 48)
         elif isinstance(f.dataType, T.VariantType):
             parts.append(F.lit(1 << 20))  # not measured, hence never within the broadcast bound
         else:
@@ -122,6 +126,7 @@ def session_tuning(builder: SparkSession.Builder, cores: int = 8) -> SparkSessio
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )

@@ -75,7 +75,7 @@ class Registry:
                 # forced here so that a failing task is caught with the extractor that owns it
                 done.append(Extraction(**{k: (None if v is None else cut(v).df) for k, v in vars(got).items()}))
             except Exception as e:  # noqa: BLE001
-                errors.append((name, str(e).splitlines()[0][:500]))
+                errors.append((name, str(e) or type(e).__name__))
         return done, spark.createDataFrame(errors, "name string, error string")
 
 

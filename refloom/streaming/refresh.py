@@ -18,6 +18,7 @@ from refloom.model import edges_from_links
 from refloom.plans.runtime import cut
 
 BUCKETS = 64
+PARTS = 8  # tasks that write a bucket
 RAW_SCHEMA = "src string, ref string, kind string, version long, bucket int"
 
 
@@ -26,9 +27,10 @@ def bucket_of(col="src", buckets: int = BUCKETS):
 
 
 def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "version") -> DataFrame:
-    """The newest row of each document; ties keep one row."""
-    payload = F.struct(*[c for c in changes.columns if c != key])
-    return changes.groupBy(key).agg(F.max_by(payload, F.col(version)).alias("_r")).select(key, "_r.*")
+    """The newest row of each document; of equal versions the row with the largest hash, in any order of arrival."""
+    rest = [c for c in changes.columns if c != key]
+    order = F.struct(F.col(version), F.xxhash64(*rest))
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -36,14 +38,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def _part():
+    """Splits a bucket over several tasks."""
+    return F.pmod(F.xxhash64("src", F.lit(1)), F.lit(PARTS))
+
+
 def merge_refs(spark: SparkSession, table: str, changed: DataFrame, refs: DataFrame, buckets: int = BUCKETS) -> None:
     """Replace the references of ``changed`` (src, version) by ``refs`` (src, ref, kind)."""
     newest = cut(changed.groupBy("src").agg(F.max("version").alias("version")).withColumn("bucket", bucket_of("src", buckets)))
     fresh = refs.select("src", "ref", "kind").join(newest.df, "src").select("src", "ref", "kind", "version", "bucket")
     out, written = fresh, newest.df.select("src")
     if _exists(spark, table):
-        old = spark.read.schema(RAW_SCHEMA).parquet(table)
-        old = old.join(F.broadcast(newest.df.select("bucket").distinct()), "bucket", "left_semi")  # at most ``buckets`` rows
+        touched = [r[0] for r in newest.df.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        old = spark.read.schema(RAW_SCHEMA).parquet(table).where(F.col("bucket").isin(touched))  # literals prune partitions
         # an older change never overwrites a newer state
         have = old.groupBy("src").agg(F.max("version").alias("_have"))
         stale = have.join(newest.df.select("src", "version"), "src").where(F.col("_have") > F.col("version")).select("src")
@@ -53,7 +60,7 @@ def merge_refs(spark: SparkSession, table: str, changed: DataFrame, refs: DataFr
     # a document that lost its last reference keeps a marker row, so its bucket is still rewritten
     markers = newest.df.join(written, "src", "left_semi").select("src", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), "version", "bucket")
     result = cut(out.unionByName(markers.join(out.select("src"), "src", "left_anti")))
-    result.df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+    result.df.repartition("bucket", _part()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
 
 def current_links(spark: SparkSession, table: str) -> DataFrame:
@@ -95,6 +102,6 @@ def drop_deleted(spark: SparkSession, table: str, present: DataFrame) -> None:
     kept = cut(touched.join(gone.df.select("src"), "src", "left_anti"))
     emptied = gone.df.select("bucket").distinct().join(kept.df.select("bucket"), "bucket", "left_anti")
     marker = emptied.select(F.lit("").alias("src"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("version"), "bucket")
-    kept.df.select("src", "ref", "kind", "version", "bucket").unionByName(marker).repartition("bucket").write.mode("overwrite").option(
+    kept.df.select("src", "ref", "kind", "version", "bucket").unionByName(marker).repartition("bucket", _part()).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(table)

@@ -536,3 +536,12 @@ def refresh_links(spark, sf):
     return current_edges(spark, f"{home}/refs").select("src", "dst", "kind", "weight")
 
 
+
+
+@query("SELECT 'P' || p_partkey AS doc_id, 'u' || p_partkey AS ref, p_size::INTEGER AS depth FROM part")
+def deep_refs(spark, sf):
+    """A reference nested as deeply as the part's size (up to 50 levels) is found with its whole path."""
+    text = F.concat(F.lit('[{"__type__":"cc.Node","v":'), F.repeat(F.lit('{"a":'), F.col("p_size")), F.lit('{"__uuid__":"u'), F.col("p_partkey").cast("string"), F.lit('"}'), F.repeat(F.lit("}"), F.col("p_size")), F.lit("}]"))
+    docs = table(spark, sf, "part").select(key("P", "p_partkey").alias("doc_id"), text.alias("text"))
+    refs = dc.walk_refs(dc.doc_entries(docs)).where("what = 'ref'")
+    return refs.select("doc_id", "ref", (F.size(F.split("property", "\\.")) - 1).cast("int").alias("depth"))

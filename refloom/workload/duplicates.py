@@ -193,32 +193,47 @@ def search_index(spark, sf):
 
 
 SCORE = """CASE WHEN instr(t, '{q}') = 1 THEN 1000.0 - length(t) WHEN instr(t, '{q}') > 1 THEN
-  (CASE WHEN contains('/_-. ', t[(instr(t, '{q}') - 1)::INT]) THEN 700.0 ELSE 500.0 END) - (instr(t, '{q}') - 1) - length(t) * 0.1 ELSE -1 END"""
+  (CASE WHEN contains('/_-. ', t[(instr(t, '{q}') - 1)::INT]) THEN 700.0 ELSE 500.0 END) - (instr(t, '{q}') - 1) - length(t) * 0.1
+  WHEN p{last} IS NOT NULL THEN {gains} ELSE -1 END"""
 
 
-@query(f"""WITH {STAR},
-l AS (SELECT id, lower(regexp_extract(path, '[^/]*$')) AS t, lower(path) AS p FROM nodes),
-s AS (SELECT id, {SCORE.format(q='bolt')} AS a FROM l), s2 AS (SELECT id, {SCORE.format(q='bolt')} AS b FROM (SELECT id, p AS t FROM l))
-SELECT 'asset' AS entry, id AS target, round(greatest(a, b), 6)::DOUBLE AS score FROM s JOIN s2 USING (id) WHERE greatest(a, b) > 100""")
+def _places(source: str, q: str) -> str:
+    """``source`` with the 1-based places p0, p1, ... of the letters of ``q`` in column t, each after the one before."""
+    for i, ch in enumerate(q):
+        prev = f"p{i - 1}" if i else "0"
+        source = f"(SELECT *, {prev} + nullif(instr(substr(t, {prev} + 1), '{ch}'), 0) AS p{i} FROM {source})"
+    return source
+
+
+def _scored(source: str, q: str) -> str:
+    """(id, score) by prefix, substring or letters in order."""
+    gains = " + ".join(f"1 + CASE WHEN p{i} = 1 OR contains('/_-. ', t[(p{i} - 1)::INT]) THEN 5 ELSE 0 END" + (f" + CASE WHEN p{i} = p{i - 1} + 1 THEN 3 ELSE 0 END" if i else "") for i in range(len(q)))
+    return f"(SELECT id, {SCORE.format(q=q, last=len(q) - 1, gains=gains)} AS score FROM {_places(source, q)})"
+
+
+def _best(where: str, q: str) -> str:
+    """(id, score): the better of a node's name and its path, if one of them fits."""
+    nodes = "(SELECT id, lower({}) AS t FROM nodes WHERE {})"
+    name, path = nodes.format("regexp_extract(path, '[^/]*$')", where), nodes.format("path", where)
+    return f"(SELECT id, round(max(score), 6)::DOUBLE AS score FROM (SELECT * FROM {_scored(name, q)} UNION ALL SELECT * FROM {_scored(path, q)}) GROUP BY id HAVING max(score) >= 0)"
+
+
+@query(f"WITH {STAR} SELECT 'asset' AS entry, id AS target, score FROM {_best('true', 'bolt')}")
 def fuzzy_search(spark, sf):
-    """Substring and prefix hits of an unscoped query."""
-    hits = se.search(_indexed(spark, sf), "bolt").where(F.col("score") > 100)
-    return hits.select("entry", "target", F.round("score", 6).alias("score"))
+    """Prefix, substring and subsequence hits of an unscoped query."""
+    return se.search(_indexed(spark, sf), "bolt").select("entry", "target", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {STAR},
-l AS (SELECT id, lower(regexp_extract(path, '[^/]*$')) AS t, lower(path) AS p FROM nodes WHERE type = 'part'),
-s AS (SELECT id, {SCORE.format(q='brand#7')} AS a FROM l), s2 AS (SELECT id, {SCORE.format(q='brand#7')} AS b FROM (SELECT id, p AS t FROM l))
-SELECT id AS target, round(greatest(a, b), 6)::DOUBLE AS score FROM s JOIN s2 USING (id) WHERE greatest(a, b) > 100""")
+@query(f"WITH {STAR} SELECT id AS target, score FROM {_best("type = 'part'", 'brand#7')}")
 def type_scope_search(spark, sf):
     """``#part brand#7``: filter by type, then search."""
-    return se.search(_indexed(spark, sf), "#part Brand#7").where(F.col("score") > 100).select("target", F.round("score", 6).alias("score"))
+    return se.search(_indexed(spark, sf), "#part Brand#7").select("target", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {STAR} SELECT id AS target, score FROM {_best("type = 'part'", 'rdwgt')}")
 def subsequence_search(spark, sf):
-    """Names that contain the letters in order only; scores checked against brute force in the tests."""
-    return se.search(_indexed(spark, sf), "#part rdwgt").select("target", "score")
+    """``#part rdwgt``: parts that hold letters in order; the text after the first word is searched."""
+    return se.search(_indexed(spark, sf), "#part rdwgt").select("target", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {STAR} SELECT kind AS edge_kind, count(*) AS n FROM edges WHERE contains(kind, 'in-') GROUP BY kind")
@@ -227,10 +242,11 @@ def kind_facets(spark, sf):
     return se.kind_facets(_indexed(spark, sf), "~in-")
 
 
-@query("""SELECT p_name, list_aggregate(list_transform(range(4), lambda i: (instr(p_name, 'bolt') - 1 + i)::VARCHAR), 'string_agg', ',') AS positions FROM part WHERE contains(p_name, 'bolt') GROUP BY p_name""")
+@query(f"""SELECT t AS p_name, CASE WHEN contains(t, 'bolt')
+  THEN array_to_string(flatten(list_transform(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 4) = 'bolt'), lambda i: range(i - 1, i + 3))), ',')
+  WHEN p3 IS NOT NULL THEN concat_ws(',', p0 - 1, p1 - 1, p2 - 1, p3 - 1) END AS positions
+FROM {_places('(SELECT DISTINCT lower(p_name) AS t FROM part)', 'bolt')}""")
 def highlight(spark, sf):
-    """Matched character positions in every part name."""
-    p = table(spark, sf, "part").select("p_name").distinct().where(F.col("p_name").contains("bolt"))
+    """Matched character positions in every part name: substrings, else letters in order, else none."""
+    p = table(spark, sf, "part").select(F.lower("p_name").alias("p_name")).distinct()
     return p.select("p_name", F.array_join(F.transform(match_positions("bolt", "p_name"), lambda i: i.cast("string")), ",").alias("positions"))
-
-

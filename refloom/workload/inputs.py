@@ -79,17 +79,6 @@ cedges AS (
 )"""
 
 
-def top_links(edges: DataFrame, k: int) -> DataFrame:
-    """The heaviest ``k`` links out of each container (ranked filter, limited before the shuffle)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-
-TOP2 = TRADE + """,
-top2 AS (SELECT src, dst FROM cedges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2)"""
-
 # ---- web graph ----------------------------------------------------------------------------------
 
 HREF = r'href="([^"]*)"'

@@ -11,7 +11,7 @@ from refloom.operators.scc import cycle_members as _cycle_members
 from refloom.operators.snapshot import snapshot, snapshot_fit as _fit, snapshot_nodes
 from refloom.operators.trees import count_matches, dep_tree as _dep_tree, path_to_root, path_tree as _path_tree, prune_tree
 from refloom.workload.base import query, rows_as
-from refloom.workload.inputs import STAR, TOP2, star_graph, table, top_links, trade_graph
+from refloom.workload.inputs import STAR, TRADE, star_graph, table, trade_graph
 
 REACH = f"""WITH RECURSIVE {STAR},
 walk AS (SELECT id AS root, id AS node FROM nodes WHERE %s UNION SELECT root, links.%s FROM walk JOIN links ON links.%s = node),
@@ -223,33 +223,33 @@ def breadcrumbs(spark, sf):
     return path_to_root(t, g.nodes, "in").select(F.array_join("crumb", " > ").alias("crumb"))
 
 
-@query(f"WITH {TOP2} SELECT a.src AS a, a.dst AS b FROM top2 a JOIN top2 b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+@query(f"WITH {TRADE} SELECT a.src AS a, a.dst AS b FROM cedges a JOIN cedges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 def mutual_pairs(spark, sf):
-    """Nations that are each among the other's two heaviest trade links."""
+    """Nations that trade with each other in both directions."""
     g = trade_graph(spark, sf)
     from refloom.operators.containers import container_edges
 
-    return tv.mutual_pairs(top_links(container_edges(g), 2))
+    return tv.mutual_pairs(container_edges(g))
 
 
-CYCLES = f"""WITH RECURSIVE {TOP2},
-r AS (SELECT src AS a, dst AS b FROM top2 UNION SELECT a, dst FROM r JOIN top2 ON src = b),
+CYCLES = f"""WITH RECURSIVE {TRADE},
+r AS (SELECT src AS a, dst AS b FROM cedges UNION SELECT a, dst FROM r JOIN cedges ON src = b),
 m AS (SELECT x.a AS member, max(greatest(x.a, x.b)) AS grp FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1)"""
 
 
 @query(CYCLES + " SELECT grp AS \"group\", count(*) AS size, min(member) AS first, max(member) AS last FROM m GROUP BY grp")
 def cycle_groups(spark, sf):
-    """Cycles among the two heaviest trade links of every nation."""
+    """Cycles among all trade links of the nations."""
     from refloom.operators.containers import container_edges
 
-    return _cycle_groups(top_links(container_edges(trade_graph(spark, sf)), 2))
+    return _cycle_groups(container_edges(trade_graph(spark, sf)))
 
 
 @query(CYCLES + " SELECT grp AS \"group\", member FROM m")
 def cycle_members(spark, sf):
     from refloom.operators.containers import container_edges
 
-    return _cycle_members(top_links(container_edges(trade_graph(spark, sf)), 2))
+    return _cycle_members(container_edges(trade_graph(spark, sf)))
 
 
 FORBID = f"""WITH {STAR},

@@ -152,3 +152,20 @@ def test_sinks_round_trip(spark, project, tmp_path):
     write_graph(flat, str(tmp_path / "graph"))
     back = read_graph(spark, str(tmp_path / "graph"), sites=True)
     assert back.edges.count() == g.edges.count() and back.sites.count() == g.sites.count()
+
+
+def test_an_error_without_text_loses_only_its_own_extractor(spark, make):
+    from refloom.registry import Registry
+
+    class Silent(Exception):
+        def __str__(self):
+            return ""
+
+    def fails(_):
+        raise Silent
+
+    registry = Registry()
+    registry.extractor("silent")(fails)
+    registry.extractor("fine")(lambda project: project.edges)
+    done, errors = registry.run_extractors(make(["a", "b"], [("a", "b")]))
+    assert len(done) == 1 and [(r.name, r.error) for r in errors.collect()] == [("silent", "Silent")]

@@ -50,10 +50,9 @@ def test_closure_matches_bfs(spark, make, seed):
     assert approx == sizes  # small sets are exact in the sketch
 
 
-def test_many_roots_path_gives_the_same_answer(spark, make, monkeypatch):
+def test_hub_path_gives_the_same_answer(spark, make, monkeypatch):
     ids, edges, adj = digraph(3)
     g = make(ids, edges)
-    monkeypatch.setattr(tv, "MANY_ROOTS", 0)
     for factor in (0, 1000):
         monkeypatch.setattr(tv, "HUB_FACTOR", factor)
         for cap in (None, 2):
@@ -154,3 +153,11 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") in ensure_checkpoint_dir(spark)
     c = cut(spark.range(10))
     assert (c.rows, c.empty) == (10, False)
+
+
+def test_long_chain_of_components_ends(spark, make):
+    # 4 two-cycles in a chain whose ids fall along it
+    names = [f"n{999 - i:03d}" for i in range(8)]
+    edges = [(names[i], names[i + 1]) for i in range(7)] + [(names[i + 1], names[i]) for i in range(0, 8, 2)]
+    got = {r.member: r.group for r in cycle_members(make(names, edges).edges).collect()}
+    assert got == {names[i + k]: max(names[i], names[i + 1]) for i in range(0, 8, 2) for k in (0, 1)}
