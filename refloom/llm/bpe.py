@@ -25,9 +25,9 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from refloom.llm.text import pieces
+from refloom.llm.text import in_small_batches, pieces
 
-REMEMBER = 300_000
+REMEMBER = 200_000
 NONE = np.int64(1) << 62
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _loaded: dict[str, Bpe] = {}
@@ -228,8 +228,14 @@ def _each(docs: DataFrame, path: str, keep: tuple[str, ...], columns: tuple[str,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.chunks = {}  # workers live on after the task
+
+    def encoded(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = bpe.encode(batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays([f[0] for f in found], [f[1] for f in found])], names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
+    return in_small_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.text import BASE, LOWER, U, Words, buffer, mix, pieces
+from refloom.llm.text import BASE, LOWER, U, Words, buffer, in_small_batches, mix, pieces
 from refloom.plans.runtime import cut
 
 BITMAP = 22
@@ -148,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 1
                 yield _rows(batch.column("text"), [batch.column("doc_id"), batch.column("_text_id")], ["doc_id", "_text_id"], sizes, 0, shared.value)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.xxhash64("text").alias("_text_id"), "text")
+    source = in_small_batches(docs).select("doc_id", F.xxhash64("text").alias("_text_id"), "text")
     found = source.mapInArrow(probes, f"doc_id {kind}, _text_id long, {_WINDOW}").select("doc_id", "_text_id", "h", "size", F.col("place").alias("_at"), F.col("slots").alias("_own"))
     pairs = found.join(known.hinted(), ["h", "size"])
     slots = F.filter(F.arrays_zip("slots", "_own"), lambda s: s["slots"] != 0)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from refloom.llm.minimise import lbfgs
 from refloom.llm.ngrams import STEP, characters
 from refloom.llm.sample import sample_ids, with_sample
-from refloom.llm.text import U, Words, buffer, mix, pieces
+from refloom.llm.text import U, Words, buffer, in_small_batches, mix, pieces
 
 BITS, LEXICON, SEGMENT = 15, 200, 64
 
@@ -271,4 +271,4 @@ def identify(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",))
             names, score = predict(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
+    return in_small_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)

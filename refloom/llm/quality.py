@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from refloom.llm.boosting import Forest, fit
 from refloom.llm.sample import sample_ids, with_sample
-from refloom.llm.text import BASE, Words, buffer, covered, mix, pieces
+from refloom.llm.text import BASE, Words, buffer, covered, in_small_batches, mix, pieces
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, label: str = "qu
             rows = statistics(batch.column("text"))[1]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
-    sample = with_sample(docs.select("doc_id", "text"), ids).select("text", "_label").mapInArrow(features, "y int, x array<double>").collect()  # at most `most` rows of 12 numbers
+    sample = with_sample(in_small_batches(docs).select("doc_id", "text"), ids).select("text", "_label").mapInArrow(features, "y int, x array<double>").collect()  # at most `most` rows of 12 numbers
     sample.sort(key=lambda r: (r.x, r.y))
     x = np.array([r.x for r in sample]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in sample], float), MONOTONE)
@@ -114,7 +114,7 @@ def judge(docs: DataFrame, forest: Forest, threshold: float = 0.5, keep: tuple[s
             own = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(base[b].astype(np.int64)) for b in BASES), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [*keep, *BASES, "base_failed", "score", "kept"])
 
-    return docs.select(*used).mapInArrow(rows, schema)
+    return in_small_batches(docs).select(*used).mapInArrow(rows, schema)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -126,4 +126,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
             base, features = statistics(batch.column("text"))
             yield batch.filter(pa.array(~base_failed(base) & (forest.score(features) >= threshold)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return in_small_batches(docs).mapInArrow(rows, docs.schema)

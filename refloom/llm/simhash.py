@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.components import components
-from refloom.llm.text import Words, buffer, pieces
+from refloom.llm.text import Words, buffer, in_small_batches, pieces
 from refloom.plans.runtime import cut
 
 SEED = 42
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(fingerprints(batch.column("text"), shingle).view(np.int64))], ["doc_id", "text_id", "print"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id long, print long")
+    return in_small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id long, print long")
 
 
 def near_pairs(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

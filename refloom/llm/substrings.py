@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.text import PIECE, Words, buffer, covered, pieces
+from refloom.llm.text import PIECE, Words, buffer, covered, in_small_batches, pieces
 
 UNIT = 1 << 20  # probes that a task packs at a time
 PACKED = "bucket int, settled boolean, docs binary, tags binary, counts binary, hashes binary, places binary"
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, window: int = 50, buckets: int | None = None) -> tu
     that a smaller doc_id has too.  ``buckets`` follows the number of input partitions unless it is given."""
     block = window // 2
     buckets = buckets or 4 * max(16, docs.rdd.getNumPartitions())
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(hashes, ids, places):

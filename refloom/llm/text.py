@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-PIECE = 1 << 21
+PIECE = 1 << 19
+BATCH = "8m"  # of Arrow data that a task holds at a time
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -45,12 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same data; its session passes at most BATCH bytes to Python workers at a time, whatever the rows' length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text (or one row)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        ends = buffer(batch.column(column))[1][1:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

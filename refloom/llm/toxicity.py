@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from refloom.llm.minimise import lbfgs
 from refloom.llm.ngrams import characters, ngram_slots
 from refloom.llm.sample import sample_ids, with_sample
-from refloom.llm.text import LOWER, buffer, pieces
+from refloom.llm.text import LOWER, buffer, in_small_batches, pieces
 
 SIZES, BITS, KEPT = (3, 4, 5), 20, 2048
 
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, label: str = "to
     known = known.withColumn("_label", (F.col("_label") > 0).cast("int"))
     prior = known.agg(F.avg("_label")).first()[0]
     ids = sample_ids(known.where("_label = 0"), most).union(sample_ids(known.where("_label = 1"), most))
-    sample = with_sample(docs.select("doc_id", "text"), ids)
+    sample = with_sample(in_small_batches(docs).select("doc_id", "text"), ids)
     clean, toxic, texts = _counts(sample)
     if not texts.all():
         mean = texts[1] / max(texts.sum(), 1)
@@ -148,4 +148,4 @@ def score_documents(docs: DataFrame, model: Linear, keep: tuple[str, ...] = ("do
             score = shared.value.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
+    return in_small_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
