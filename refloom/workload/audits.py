@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refloom.functions.scalar import human_size as _human_size
-from refloom.functions.scalar import base, dir_of, ext_of, normalize_path, strip_ext
+from refloom.functions.scalar import (
+    base, dir_of, ext_of, insert_at, is_permutation, is_uuid, main_id, normalize_path, permute, remove_at, strip_ext, sub_id,
+)
 from refloom.functions.matching import match_nodes
 from refloom.model import Graph
 from refloom.operators import containers as ct
 from refloom.operators import filters as fl
 from refloom.operators import reports as rp
-from refloom.operators.extractors import add_virtual_nodes
+from refloom.operators.extractors import add_virtual_nodes, union_edges
 from refloom.operators.rules import Context, evaluate_rules
+from refloom.operators.traverse import degrees, filter_kinds
 from refloom.operators.traverse import mutual_pairs as _mutual
-from refloom.plans.ordering import positions_within
+from refloom.plans.ordering import global_positions, positions_within
 from refloom.sources.tables import key
 from refloom.workload.base import query, rows_as
 from refloom.workload.inputs import STAR, TRADE, WEB, star_graph, table, trade_graph, web_nodes, web_refs
@@ -345,22 +348,29 @@ def forbid_transitive(spark, sf):
     return evaluate_rules(g, [rule]).violations.select("rule", "level", "message", "asset")
 
 
-@query(f"""WITH {TRADE},
-u AS (SELECT id, path, type FROM tnodes WHERE id NOT IN (SELECT dst FROM tedges) AND type = 'supplier')
+@query(f"""WITH {TRADE}
 SELECT 'no-cross-bundle' AS rule, 'warn' AS level, count(*) AS n FROM cedges WHERE src = 'N3' HAVING count(*) > 0
-UNION ALL SELECT 'no-orphans', 'error', count(*) FROM u WHERE false HAVING count(*) > 0
 UNION ALL SELECT 'no-bundle-cycle', 'error', 1 FROM (SELECT count(*) AS c FROM cedges) WHERE c > 0
 UNION ALL SELECT 'no-such-rule', 'config', 1 UNION ALL SELECT '(invalid)', 'config', 1 UNION ALL SELECT 'forbid-dep', 'config', 1""")
 def violations(spark, sf):
     """A mixed rule set over the trade graph, counted by rule and level."""
     rules = [
-        {"name": "no-cross-bundle", "level": "warn", "from": "N3"}, {"name": "no-orphans", "type": "supplier"}, {"name": "no-bundle-cycle"},
+        {"name": "no-cross-bundle", "level": "warn", "from": "N3"}, {"name": "no-bundle-cycle"},
         {"name": "no-such-rule"}, {"level": "warn"}, {"name": "forbid-dep"},
     ]
     r = evaluate_rules(trade_graph(spark, sf), rules)
     return r.violations.groupBy("rule", "level").agg(rows_as("n"))
 
 
+@query(f"""WITH {TRADE} SELECT 'no-orphans' AS rule, 'error' AS level, 'unused customer · ' || path AS message, path AS asset
+FROM tnodes WHERE type = 'customer' AND id LIKE '%0' AND id NOT IN (SELECT dst FROM tedges)""")
+def orphan_rule(spark, sf):
+    """Customers outside of any nation that nobody refers to; those in a nation are candidates only."""
+    g = trade_graph(spark, sf)
+    g = g.with_(nodes=g.nodes.withColumn("container", F.when(F.col("id").endswith("0"), F.lit(None)).otherwise(F.col("container"))))
+    return evaluate_rules(g, [{"name": "no-orphans", "type": "customer"}]).violations.select("rule", "level", "message", "asset")
+
+
 @query("""SELECT 'no-dangling-refs' AS rule, 'warn' AS level, 'dangling ref ' || ref || ' (' || count(*) || ' referrer(s))' AS message, ref AS asset
 FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref FROM pages) WHERE ref NOT IN (SELECT url FROM pages) GROUP BY ref""")
 def default_rules(spark, sf):
@@ -379,3 +389,63 @@ def duplicate_rule(spark, sf):
     g = Graph.from_links(web_nodes(spark, sf), web_refs(spark, sf).select("src", F.col("ref").alias("dst"), F.lit("href").alias("kind")))
     ctx = Context(duplicates=lambda: {"files": file_groups(spark, sf)})
     return evaluate_rules(g, [{"name": "no-duplicate-files", "axis": "files"}], ctx).violations.agg(rows_as("n"))
+
+
+# ---- filters, orders and list functions ----------------------------------------------------------
+
+
+@query(f"""WITH {STAR}, e AS (SELECT * FROM edges WHERE kind IN ('placed-by', 'in-nation'))
+SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id""")
+def kind_degrees(spark, sf):
+    """Degrees over two kinds of edges only."""
+    return degrees(filter_kinds(star_graph(spark, sf).edges, ["placed-by", "in-nation"]))
+
+
+@query(f"""WITH {STAR}
+SELECT id, row_number() OVER (ORDER BY size DESC, lower(regexp_extract(path, '[^/]*$')), path) AS place FROM nodes WHERE type = 'part'
+UNION ALL SELECT 'total', count(*) FROM nodes WHERE type = 'part'""")
+def sorted_parts(spark, sf):
+    """The place of every part when sorted by size, and the total of the report."""
+    parts = star_graph(spark, sf).nodes.where("type = 'part'")
+    placed = global_positions(parts.select("id", (-F.col("size")).alias("_s"), F.lower(base("path")).alias("_b"), "path"), ["_s", "_b", "path"], "place")
+    _, total = fl.top_with_total(parts, [F.desc("size")], 10)
+    return placed.select("id", (F.col("place") + 1).alias("place")).unionByName(total.select(F.lit("total").alias("id"), F.col("total").alias("place")))
+
+
+@query(f"""WITH {STAR} SELECT id, path FROM nodes WHERE type = 'customer' ORDER BY lower(path) DESC, lower(regexp_extract(path, '[^/]*$')), path LIMIT 100""")
+def sorted_view(spark, sf):
+    """The first page of customers by name, falling."""
+    return fl.sort_nodes(star_graph(spark, sf).nodes.where("type = 'customer'"), "path", True).select("id", "path").limit(100)
+
+
+@query(f"""WITH {STAR}, {WEB.strip()} SELECT src, dst, kind, NULL::VARCHAR AS label FROM links WHERE kind = 'in-nation' UNION ALL SELECT src, ref, 'href', 'link' FROM refs""")
+def union_of_edges(spark, sf):
+    """Edges of two sources in one table; one of them has no labels."""
+    web = web_refs(spark, sf).select("src", F.col("ref").alias("dst"), F.lit("href").alias("kind"), F.lit("link").alias("label"))
+    return union_edges(web, star_graph(spark, sf).links.where("kind = 'in-nation'").select("src", "dst", "kind"))
+
+
+@query("""WITH h AS (SELECT doc_id, md5(doc_id::VARCHAR) AS m FROM documents), u AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN m ELSE concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) END || CASE WHEN doc_id % 2 = 0 THEN '@f' || doc_id ELSE '' END AS id FROM h)
+SELECT doc_id, regexp_full_match(split_part(id, '@', 1), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS uuid, split_part(id, '@', 1) AS main, CASE WHEN contains(id, '@') THEN split_part(id, '@', 2) END AS sub FROM u""")
+def id_parts(spark, sf):
+    """Main and sub id of identifiers, and whether the main id is in the long form."""
+    m = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    dashed = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("@f"), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
+    ids = table(spark, sf, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, m).otherwise(dashed), tail).alias("id"))
+    return ids.select("doc_id", is_uuid(main_id("id")).alias("uuid"), main_id("id").alias("main"), sub_id("id").alias("sub"))
+
+
+@query("""WITH a AS (SELECT p_partkey, range(p_size % 6) AS xs, p_size % 7 AS pos FROM part)
+SELECT p_partkey, CASE WHEN pos <= len(xs) THEN array_to_string(xs[:pos] || [99] || xs[pos + 1:], ',') END AS added, CASE WHEN pos < len(xs) THEN array_to_string(xs[:pos] || xs[pos + 2:], ',') END AS removed,
+  array_to_string(list_reverse(xs), ',') AS turned, true AS fits, false AS short FROM a""")
+def list_edits(spark, sf):
+    """Insertion, removal and reordering of lists, with places outside of them."""
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 6).alias("n"), (F.col("p_size") % 7).alias("at"))
+    rows = rows.select("p_partkey", "n", "at", F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>")).alias("xs"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    turned = F.reverse("xs")
+    return rows.select(
+        "p_partkey", text(insert_at("xs", "at", F.lit(99))).alias("added"), text(remove_at("xs", "at")).alias("removed"),
+        text(permute("xs", turned)).alias("turned"), is_permutation(turned, "n").alias("fits"), is_permutation(turned, F.col("n") + 1).alias("short"),
+    )
