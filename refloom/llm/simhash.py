@@ -124,7 +124,11 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
 
 def local_edges(prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(print, smallest print of its component inside the group) of the members that have a link."""
-    i, j = near_pairs(prints, group, radius)
+    return spanning(prints, *near_pairs(prints, group, radius))
+
+
+def spanning(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(print, smallest print of its component) of the members of links (i, j); prints of a component ascend."""
     label = np.arange(len(prints))
     while len(i):
         least = np.minimum(label[i], label[j])
@@ -197,7 +201,12 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """(doc_id, text_id, print, component_id, n_copies): the smallest doc_id that links reach, and how many rows have the print."""
     prints = cut(with_fingerprints(docs, shingle)).df
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("_doc"), F.count(F.lit(1)).alias("n_copies"))).df
-    roots = components(near_edges(distinct.select("print"), radius))
+    return place(prints, distinct, near_edges(distinct.select("print"), radius))
+
+
+def place(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with the component_id and n_copies that edges between prints give them."""
+    roots = components(edges)
     placed = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "_doc", "n_copies", F.coalesce("component", "print").alias("_root"), F.col("node").isNotNull().alias("_linked"))
     placed = placed.where("_linked or n_copies > 1")
     least = placed.groupBy(F.col("_root").alias("_r")).agg(F.min("_doc").alias("component_id"))
@@ -210,7 +219,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 
     Documents with a null doc_id stay only where no other id is in their component, and then one for each text.
     """
-    found = cut(near_components(docs, shingle, radius)).df
+    return keep_first(docs, near_components(docs, shingle, radius))
+
+
+def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """What ``keep_one`` keeps, by components of any kind."""
+    found = cut(components).df
     lost = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "text_id").distinct()
     again = found.groupBy("doc_id", "text_id").count().where("count > 1").select("doc_id", "text_id")
     same = lambda side: docs["doc_id"].eqNullSafe(side["_doc"]) & (F.xxhash64(docs["text"]) == side["_id"])
