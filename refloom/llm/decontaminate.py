@@ -6,13 +6,16 @@ and benchmark items are joined by hash.  Matching windows on one diagonal (docum
 together, and the values in their slots must be consistent: each value of the item stands for one and the same value
 of the document wherever it occurs (two values may become equal).  So a question whose numbers and names were changed is found as well as a copy.
 
+Windows of plain words (in lower case, without outer punctuation, values kept) are joined in the same way.  They count
+whatever they consist of.
+
 An item is leaked by a document if consistent windows cover ``least`` of its words, or a ``share`` of them.
 
 Before the join a bitmap of the benchmark's window hashes, of a fixed size, drops windows that cannot match; it may
 keep too many, never too few.  The benchmark's windows are broadcast only if they were measured to be small.
 
 Nulls and ties: a null text has no words; items with fewer than ``fewest`` words are not searched for, shorter windows
-than ``window`` are whole items; windows with less than half of literal words count for nothing; rows that repeat a
+than ``window`` are whole items; template windows with less than half of literal words count for nothing; rows that repeat a
 doc_id are told apart by a hash of the text; an item_id that occurs twice is leaked if either text is.
 """
 
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +48,9 @@ _unit_words = Words(*buffer(pa.array([" ".join(UNITS)])))
 _UNIT_HASHES = np.sort(_unit_words.hashes())
 
 
-def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, template code of each word, value of each slot or 0)."""
-    data, offsets = buffer(column)
-    words = Words(data, offsets)
-    n = len(words)
+def _strip(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words without outer punctuation; words of punctuation only are taken as they are."""
     start, end = words.start.copy(), words.end.copy()
-    if n == 0:
-        return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     while True:
         move = (end > start) & OUTER[data[np.minimum(start, len(data) - 1)]]
         if not move.any():
@@ -62,8 +61,25 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
         if not move.any():
             break
         end -= move
-    bare = end <= start  # punctuation only: taken as it is
-    start, end = np.where(bare, words.start, start), np.where(bare, words.end, end)
+    bare = end <= start
+    return np.where(bare, words.start, start), np.where(bare, words.end, end)
+
+
+def plain(column: pa.Array) -> np.ndarray:
+    """Code of each word by its letters, whatever their case."""
+    data, offsets = buffer(pc.replace_substring(pc.utf8_lower(column), "ß", "ss"))
+    words = Words(data, offsets)
+    return words.hashes(*_strip(data, words)) if len(words) else np.zeros(0, np.uint64)
+
+
+def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, template code of each word, value of each slot or 0)."""
+    data, offsets = buffer(column)
+    words = Words(data, offsets)
+    n = len(words)
+    if n == 0:
+        return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    start, end = _strip(data, words)
     lowered = Words(LOWER[data], offsets)
     code = lowered.hashes(start, end)
     sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])
@@ -91,38 +107,44 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, code, value
 
 
-def _windows(column: pa.Array, sizes: list[int], whole_only: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, text, place, size, hash of each window, slot values of all words); sizes below ``whole_only`` are whole texts' only."""
+def _windows(column: pa.Array, sizes: list[int], whole_only: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, text, place, size, plain or not, hash of each window, slot values of all words); sizes below ``whole_only`` are whole texts' only.
+
+    Windows without slots are plain only: as templates they would be the same.
+    """
     words, code, value = templates(column)
     found = []
     literal = np.concatenate([[0], np.cumsum(value == 0)])
-    for size in sizes:
-        start, hashes = words.windows(code, size)
-        start_ok = 2 * (literal[start + size] - literal[start]) >= size
-        if whole_only > size:
-            start_ok &= words.count[words.doc[start]] == size
-        start, hashes = start[start_ok], hashes[start_ok]
-        found.append((start, np.full(len(start), size), mix(hashes + U(size * int(BASE) % (1 << 64)))))
-    start, size, hashes = (np.concatenate(p) for p in zip(*found))
+    for exact, codes in ((False, code), (True, plain(column))):
+        for size in sizes:
+            start, hashes = words.windows(codes, size)
+            literals = literal[start + size] - literal[start]
+            start_ok = np.ones(len(start), bool) if exact else (2 * literals >= size) & (literals < size)
+            if whole_only > size:
+                start_ok &= words.count[words.doc[start]] == size
+            start, hashes = start[start_ok], hashes[start_ok]
+            found.append((start, np.full(len(start), size), np.full(len(start), exact), mix(hashes + U((2 * size + exact) * int(BASE) % (1 << 64)))))
+    start, size, exact, hashes = (np.concatenate(p) for p in zip(*found))
     text = words.doc[start]
-    return words, text, start - words.at[text], size, hashes, value
+    return words, text, start - words.at[text], size, exact, hashes, value
 
 
 def _rows(column: pa.Array, own: list[pa.Array], names: list[str], sizes: list[int], whole_only: int, bitmap: np.ndarray | None) -> pa.RecordBatch:
-    words, text, place, size, hashes, value = _windows(column, sizes, whole_only)
+    words, text, place, size, exact, hashes, value = _windows(column, sizes, whole_only)
     if bitmap is not None:
         slot = (hashes >> U(64 - BITMAP)).astype(np.int64)
         keep = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64) & U(1)).astype(bool)
-        text, place, size, hashes = text[keep], place[keep], size[keep], hashes[keep]
+        text, place, size, exact, hashes = text[keep], place[keep], size[keep], exact[keep], hashes[keep]
     first = words.at[text] + place
-    ends = np.concatenate([[0], np.cumsum(size)])
-    flat = value[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])] if len(first) else np.zeros(0, np.uint64)
+    slots = np.where(exact, 0, size)  # values that are part of the hash need no comparison
+    ends = np.concatenate([[0], np.cumsum(slots)])
+    flat = value[np.repeat(first - ends[:-1], slots) + np.arange(ends[-1])] if len(first) else np.zeros(0, np.uint64)
     slots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
     take = pa.array(text)
-    return pa.RecordBatch.from_arrays([*(c.take(take) for c in own), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(words.count[text].astype(np.int32)), slots], [*names, "h", "place", "size", "n", "slots"])
+    return pa.RecordBatch.from_arrays([*(c.take(take) for c in own), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(exact), pa.array(words.count[text].astype(np.int32)), slots], [*names, "h", "place", "size", "exact", "n", "slots"])
 
 
-_WINDOW = "h long, place int, size int, n int, slots array<long>"
+_WINDOW = "h long, place int, size int, exact boolean, n int, slots array<long>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 13, share: float = 0.5, fewest: int = 4) -> DataFrame:
@@ -149,14 +171,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = in_small_batches(docs).select("doc_id", F.xxhash64("text").alias("_text_id"), "text")
-    found = source.mapInArrow(probes, f"doc_id {kind}, _text_id long, {_WINDOW}").select("doc_id", "_text_id", "h", "size", F.col("place").alias("_at"), F.col("slots").alias("_own"))
-    pairs = found.join(known.hinted(), ["h", "size"])
+    found = source.mapInArrow(probes, f"doc_id {kind}, _text_id long, {_WINDOW}").select("doc_id", "_text_id", "h", "size", "exact", F.col("place").alias("_at"), F.col("slots").alias("_own"))
+    pairs = found.join(known.hinted(), ["h", "size", "exact"])
     slots = F.filter(F.arrays_zip("slots", "_own"), lambda s: s["slots"] != 0)
-    rows = pairs.select("doc_id", "_text_id", "item_id", "n", (F.col("_at") - F.col("place")).alias("_shift"), "place", "size", slots.alias("_slots"))
-    groups = rows.groupBy("doc_id", "_text_id", "item_id", "n", "_shift").agg(F.collect_set(F.struct("place", "size")).alias("_places"), F.flatten(F.collect_set("_slots")).alias("_slots"))  # bounded by the item
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.sequence(p["place"], p["place"] + p["size"] - 1)))))
+    rows = pairs.select("doc_id", "_text_id", "item_id", "n", (F.col("_at") - F.col("place")).alias("_shift"), "place", "size", "exact", slots.alias("_slots"))
+    places = lambda exact: F.collect_set(F.when(F.col("exact") == F.lit(exact), F.struct("place", "size")))
+    groups = rows.groupBy("doc_id", "_text_id", "item_id", "n", "_shift").agg(places(True).alias("_plain"), places(False).alias("_changed"), F.flatten(F.collect_set("_slots")).alias("_slots"))  # bounded by the item
     consistent = F.size(F.array_distinct(F.transform("_slots", lambda s: s["slots"]))) == F.size(F.array_distinct("_slots"))
-    return groups.where(consistent & ((covered >= least) | (covered >= F.lit(share) * F.col("n")))).select("doc_id", "_text_id", "item_id").distinct()
+    counted = F.concat("_plain", "_changed")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(counted, lambda p: F.sequence(p["place"], p["place"] + p["size"] - 1)))))
+    return groups.where(consistent & (covered > 0) & ((covered >= least) | (covered >= F.lit(share) * F.col("n")))).select("doc_id", "_text_id", "item_id").distinct()
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -64,3 +64,16 @@ def test_given_tables_against_brute_force(spark):
         want[r.doc_id] = set().union(*(grams.get(tuple(w[k : k + 13]), set()) for k in range(len(w) - 12))) if len(w) > 12 else set()
     got = {r.doc_id: set(r.item_ids) for r in dc.mark(docs, bench).collect()}
     assert got == want or all(got[i] >= want[i] for i in want) and np.mean([got[i] == want[i] for i in want]) > 0.99
+
+
+def test_copies_without_literal_words(spark):
+    """Items of capitals, names or numbers only, and copies in another case."""
+    caps = "WHICH OF THE FOLLOWING RIVERS FLOWS THROUGH THE MOST COUNTRIES OF CENTRAL EUROPE"
+    names = "the list has Anna Maria Bob Carla Dieter Emil Frida Gustav Hanna Ida Jonas Karl Lena"
+    numbers = "sum 12 7 kg 19 mm 44 3 km 81 55 6 g 90 13 28 77"
+    german = "Der alte Bäcker trägt Äpfel, Birnen, Brot, Käse, Öl und Wein über Brücken, Straßen, Plätze"
+    items = spark.createDataFrame([(1, caps), (2, names), (3, numbers), (4, german)], "item_id long, text string")
+    filler = "some words before"
+    docs = [(1, f"{filler} {caps}"), (2, f"{filler} {names}"), (3, f"{filler} {numbers}"), (4, f"{filler} {german}"), (5, german.lower()), (6, german.upper()), (7, caps.lower()), (8, names.upper()), (9, filler.upper()), (10, None)]
+    got = {r.doc_id: list(r.item_ids) for r in dc.mark(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [4], 7: [1], 8: [2], 9: [], 10: []}
