@@ -7,7 +7,7 @@ together, and the values in their slots must be consistent: each value of the it
 of the document wherever it occurs (two values may become equal).  So a question whose numbers and names were changed is found as well as a copy.
 
 Windows of plain words (in lower case, without outer punctuation, values kept) are joined in the same way.  They count
-whatever they consist of.
+whatever they consist of and whether or not the template windows on their diagonal are consistent.
 
 An item is leaked by a document if consistent windows cover ``least`` of its words, or a ``share`` of them.
 
@@ -178,9 +178,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 1
     places = lambda exact: F.collect_set(F.when(F.col("exact") == F.lit(exact), F.struct("place", "size")))
     groups = rows.groupBy("doc_id", "_text_id", "item_id", "n", "_shift").agg(places(True).alias("_plain"), places(False).alias("_changed"), F.flatten(F.collect_set("_slots")).alias("_slots"))  # bounded by the item
     consistent = F.size(F.array_distinct(F.transform("_slots", lambda s: s["slots"]))) == F.size(F.array_distinct("_slots"))
-    counted = F.concat("_plain", "_changed")
+    counted = F.when(consistent, F.concat("_plain", "_changed")).otherwise(F.col("_plain"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(counted, lambda p: F.sequence(p["place"], p["place"] + p["size"] - 1)))))
-    return groups.where(consistent & (covered > 0) & ((covered >= least) | (covered >= F.lit(share) * F.col("n")))).select("doc_id", "_text_id", "item_id").distinct()
+    return groups.where((covered > 0) & ((covered >= least) | (covered >= F.lit(share) * F.col("n")))).select("doc_id", "_text_id", "item_id").distinct()
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -77,3 +77,12 @@ def test_copies_without_literal_words(spark):
     docs = [(1, f"{filler} {caps}"), (2, f"{filler} {names}"), (3, f"{filler} {numbers}"), (4, f"{filler} {german}"), (5, german.lower()), (6, german.upper()), (7, caps.lower()), (8, names.upper()), (9, filler.upper()), (10, None)]
     got = {r.doc_id: list(r.item_ids) for r in dc.mark(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [4], 7: [1], 8: [2], 9: [], 10: []}
+
+
+def test_one_edit_of_a_repeated_value(spark):
+    """What is copied word for word counts, though a value that occurs twice was changed once."""
+    item = "the farmer puts 12 apples in a box and takes the box to the market where people buy all of them and later 12 more apples are put in the same box"
+    edited = "13 more".join(item.rsplit("12 more", 1))
+    df = spark.createDataFrame([(1, edited), (2, item.replace("12", "15"))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in dc.mark(df, items).collect()} == {1: True, 2: True}
