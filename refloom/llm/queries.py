@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, decontaminate, languages, lines, lm, quality, sharding, simhash, substrings, toxicity
+from refloom.llm import bpe, decontaminate, languages, lines, lm, quality, sharding, simhash, substrings, toxicity, trie
 from refloom.llm.sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,44 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+def sql_crc32(number: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a number's decimal text."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(v, b), range(8)), lambda w, i: CASE WHEN w & 1 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda v, b: {step}))"
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("chars", "n_ends")
+
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, sha256(concat(octet_length(encode(role)), ':', role, text)) AS digest, length(text) AS chars FROM t),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos FROM d),
+c AS (SELECT conv_id, count(*) AS n, {sql_crc32("conv_id")} % 6 AS h FROM own GROUP BY conv_id),
+turns AS (
+  SELECT c.conv_id, own.pos + 1 AS depth, digest, chars FROM c JOIN own ON own.conv_id = c.conv_id - c.conv_id % 100 WHERE own.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, own.pos - c.h + least(c.h, coalesce(b.n, 0)) + 1 AS depth, digest, chars
+  FROM c JOIN own ON own.conv_id = c.conv_id LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 100 WHERE own.pos >= c.h),
+rows_ AS (
+  SELECT conv_id, 0 AS depth, '' AS path, '' AS up, 0 AS chars FROM c
+  UNION ALL
+  SELECT conv_id, depth, string_agg(digest, '') OVER w AS path, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up, chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+lengths AS (SELECT conv_id, max(depth) AS last FROM rows_ GROUP BY conv_id),
+nodes AS (
+  SELECT path, up, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = last) AS ends
+  FROM rows_ JOIN lengths USING (conv_id) GROUP BY path, up, depth),
+children AS (SELECT up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+sums AS (
+  SELECT r.path, sum((v.n - 1) * v.chars) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM nodes v JOIN rows_ r ON r.conv_id = v.conv_id AND r.depth <= v.depth LEFT JOIN children k ON k.path = v.path GROUP BY r.path)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN sums s ON s.path = v.path LEFT JOIN nodes p ON v.depth > 0 AND p.path = v.up LEFT JOIN children k ON k.path = v.path
+"""
