@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, decontaminate, languages, lines, lm, quality, sharding, simhash, substrings, toxicity, trie
+from refloom.llm import bpe, decontaminate, languages, lines, lm, merkle, quality, sharding, simhash, substrings, toxicity, trie
 from refloom.llm.sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,58 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
   CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM nodes v JOIN sums s ON s.path = v.path LEFT JOIN nodes p ON v.depth > 0 AND p.path = v.up LEFT JOIN children k ON k.path = v.path
 """
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # null where doc_id is null, which leaves n_chars as it is
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    found = {"n_chars": F.when(tampered, more).otherwise(F.col("n_chars").cast("string"))}
+    out = merkle.manifest(table(spark, sf_dir, "documents"), found)
+    siblings = F.array_join(F.transform("proof", lambda s: F.substring(s, 2, 64)), "")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {sql_crc32("doc_id")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS found
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+low(tree, step, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM l
+  UNION ALL
+  SELECT tree, step + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, step, pos // 2, n),
+sub AS (SELECT tree, h, step, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(step, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM sub
+  UNION ALL
+  SELECT step + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY step, pos // 2, n),
+top AS (SELECT h AS root, step AS steps FROM high WHERE n = 1),
+way AS (
+  SELECT l.tree, l.pos, s.step, (l.pos >> s.step) & 1 AS odd, o.h
+  FROM l JOIN (SELECT DISTINCT tree, step FROM low WHERE n > 1) s ON s.tree = l.tree
+  LEFT JOIN low o ON o.tree = l.tree AND o.step = s.step AND o.pos = xor(l.pos >> s.step, 1)
+  UNION ALL
+  SELECT l.tree, l.pos, sub.step + s.step, (sub.pos >> s.step) & 1 AS odd, o.h
+  FROM l JOIN sub ON sub.tree = l.tree CROSS JOIN (SELECT DISTINCT step FROM high WHERE n > 1) s
+  LEFT JOIN high o ON o.step = s.step AND o.pos = xor(sub.pos >> s.step, 1)),
+proof AS (SELECT tree, pos, coalesce(string_agg(h, '' ORDER BY step), '') AS hashes FROM way GROUP BY tree, pos),
+folded(tree, pos, step, h) AS (
+  SELECT tree, pos, CAST(0 AS BIGINT), found FROM l
+  UNION ALL
+  SELECT f.tree, f.pos, f.step + 1, sha256(CASE WHEN w.h IS NULL THEN f.h WHEN w.odd = 1 THEN w.h || f.h ELSE f.h || w.h END)
+  FROM folded f JOIN way w ON w.tree = f.tree AND w.pos = f.pos AND w.step = f.step)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, top.root, sha256(coalesce(proof.hashes, '')) AS proof_sha256, f.h AS folded_root, f.h = top.root AS verified
+FROM l JOIN sub USING (tree) CROSS JOIN top LEFT JOIN proof ON proof.tree = l.tree AND proof.pos = l.pos
+JOIN folded f ON f.tree = l.tree AND f.pos = l.pos AND f.step = sub.step + top.steps
+"""
