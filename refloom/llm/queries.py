@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, decontaminate, languages, lines, lm, merkle, quality, sharding, simhash, substrings, toxicity, trie
+from refloom.llm import bpe, decontaminate, languages, lines, lm, merkle, packing, quality, sharding, simhash, substrings, toxicity, trie
 from refloom.llm.sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,9 @@ SELECT l.doc_id, l.leaf, sub.h AS subroot, top.root, sha256(coalesce(proof.hashe
 FROM l JOIN sub USING (tree) CROSS JOIN top LEFT JOIN proof ON proof.tree = l.tree AND proof.pos = l.pos
 JOIN folded f ON f.tree = l.tree AND f.pos = l.pos AND f.step = sub.step + top.steps
 """
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
