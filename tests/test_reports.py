@@ -152,6 +152,52 @@ def test_suggestions_match_brute_force(spark, make):
     assert got == want
 
 
+def test_suggestions_by_segments(spark, make):
+    rnd = random.Random(7)
+    words = ["button", "background", "panel", "icon", "coin", "settings", "highlight", "particle", "texture"]
+    names = sorted({"_".join(rnd.choice(words) for _ in range(rnd.randint(1, 5))) + rnd.choice(["", ".png", ".prefab"]) for _ in range(150)})
+    queries = []
+    for n in rnd.sample(names, 20):
+        letters = list(n)
+        for _ in range(rnd.randint(1, 9)):
+            at = rnd.randrange(len(letters) + 1)
+            letters[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "q"])
+        queries.append("".join(letters))
+    queries = [x for x in dict.fromkeys(queries) if x] + ["zzzzzzzzzzzzzzzzzzzzzzzzzzzz", "é", "x" * 90]
+
+    def dist(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+
+    want = {}
+    for q in queries:
+        hits = [(min(dist(q, n), dist(q, n.rsplit(".", 1)[0])), f"d/{n}") for n in names]
+        top = sorted((d, p) for d, p in hits if d <= max(2, int(max(len(q), len(p) - 2) * 0.4)))[:5]
+        if top:
+            want[q] = top
+    g = make({n: ("t", 1, None, f"d/{n}") for n in names}, [])
+    got = {}
+    for r in lk.suggest_names(spark.createDataFrame([(q,) for q in queries], "query string"), g.nodes).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.distance, r.path))
+    assert got == want
+
+
+def test_one_long_name_widens_no_other_band(spark, make):
+    names = ["short.png", "shirt.png", "a" * 10_000 + ".png"]
+    g = make({n: ("t", 1, None, n) for n in names}, [])
+    forms = [("short.png", 9, 9), ("short", 9, 5), ("a" * 10_000, 10_004, 10_000)]
+    got = lk.suggest_names(spark.createDataFrame([("shart.png",), ("a" * 9_990 + ".png",)], "query string"), g.nodes)
+    assert sorted((len(r.query), r.distance, len(r.path)) for r in got.collect()) == [(9, 1, 9), (9, 1, 9), (9_994, 10, 10_004)]
+    q = spark.createDataFrame([("shart.png", 9)], "qb string, ql int")
+    bands = spark.createDataFrame([(9, f) for _, _, f in forms], "ql int, f int")
+    assert {r.f for r in lk._probes(q, bands, 4).select("f").distinct().collect()} == {5, 9}
+
+
 def test_search_index_and_scopes(make, spark):
     sites = [("b", "a", "use", "Canvas/Icon", "cc.Sprite", "_spriteFrame", "fr"), ("c", "a", "use", "Canvas/Icon", "cc.Sprite", "_spriteFrame", None)]
     subs = spark.createDataFrame([("a", "1", "sprite-frame", "hero"), ("a", "2", "sprite-frame", "spriteFrame")], "owner_id string, sub_id string, kind string, name string")
