@@ -9,7 +9,7 @@ from refloom.operators.filters import node_table as _node_table
 from refloom.operators.scc import cycle_groups as _cycle_groups
 from refloom.operators.scc import cycle_members as _cycle_members
 from refloom.operators.snapshot import snapshot, snapshot_fit as _fit, snapshot_nodes
-from refloom.operators.trees import count_matches, dep_tree as _dep_tree, path_to_root, path_tree as _path_tree, prune_tree
+from refloom.operators.trees import count_matches, dep_tree as _dep_tree, path_to_root, path_tree as _path_tree, pruned_tree
 from refloom.workload.base import query, rows_as
 from refloom.workload.inputs import STAR, TRADE, star_graph, table, trade_graph
 
@@ -188,14 +188,14 @@ SELECT depth, type AS node_type, count(*) AS n FROM (
 def dep_tree_pruned(spark, sf):
     """The two-hop tree of every order, cut to branches that reach a nation."""
     g = star_graph(spark, sf)
-    t = prune_tree(_dep_tree(g, _ids(g, "order"), "out", 2), ["nation"])
+    t = pruned_tree(g, _ids(g, "order"), ["nation"], "out", 2)
     return t.groupBy("depth", "node_type").agg(rows_as("n"))
 
 
 @query(PRUNED + " SELECT matches, count(*) AS orders FROM (SELECT root, count(*) AS matches FROM l2 GROUP BY root) GROUP BY matches")
 def tree_matches(spark, sf):
     g = star_graph(spark, sf)
-    t = prune_tree(_dep_tree(g, _ids(g, "order"), "out", 2), ["nation"])
+    t = pruned_tree(g, _ids(g, "order"), ["nation"], "out", 2)
     return count_matches(t, ["nation"]).groupBy("matches").agg(rows_as("orders"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from refloom.operators import traverse as tv
 from refloom.operators.scc import cycle_members
 from refloom.operators.snapshot import snapshot, snapshot_fit
-from refloom.operators.trees import dep_tree, path_to_root, path_tree, prune_tree
+from refloom.operators.trees import dep_tree, path_to_root, path_tree, prune_tree, pruned_tree
 
 
 def bfs(adj, root):
@@ -127,6 +127,59 @@ def test_dep_tree_marks_revisits_and_prunes(spark, make):
     assert broad == {("R", "A")}
 
 
+def brute_tree(adj, types, root, depth):
+    """Rows (depth, parent, node, revisit) with the shallowest place of each node expanded, and those that reach ``types``."""
+    expanded, rows, frontier, up = {root}, [], [root], {}
+    for d in range(1, depth + 1):
+        level = [(p, n) for p in sorted(frontier, key=lambda i: (types[i], i)) for n in sorted(adj.get(p, ()))]
+        old, fresh = set(expanded), []
+        for p, n in level:
+            seen = n in old or (d < depth and n in fresh)
+            rows.append((d, p, n, seen))
+            if not seen and d < depth:
+                fresh.append(n)
+                expanded.add(n)
+                up[n] = p
+        frontier = fresh
+
+    def loops(p, n):
+        while p != n and p != root:
+            p = up[p]
+        return p == n
+
+    good = {p for _, p, n, _ in rows if types[n] == "x"}
+    while True:
+        more = {p for _, p, n, seen in rows if n in good and not (seen and loops(p, n))} - good
+        if not more:
+            break
+        good |= more
+    kept = {r for r in rows if types[r[2]] == "x" or (r[2] in good and not (r[3] and loops(r[1], r[2])))}
+    return set(rows), kept
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_trees_with_paths_of_unequal_length(spark, make, seed):
+    rnd = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(26)]
+    edges = sorted({(rnd.choice(ids), rnd.choice(ids)) for _ in range(48)})
+    types = {i: rnd.choice(["x", "a", "a", "a"]) for i in ids}
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+    g = make({i: (types[i], 1, None) for i in ids}, edges)
+    roots = ids[:6]
+    rows = lambda df: {(r.root, r.depth, r.parent, r.node, r.revisit) for r in df.collect()}
+    for depth in (2, 5):
+        tree = dep_tree(g, ids_df(spark, roots), "out", depth)
+        want = [brute_tree(adj, types, r, depth) for r in roots]
+        assert rows(tree) == {(r, *row) for r, w in zip(roots, want) for row in w[0]}
+        kept = {(r, *row) for r, w in zip(roots, want) for row in w[1]}
+        assert rows(prune_tree(tree, ["x"])) == kept and rows(pruned_tree(g, ids_df(spark, roots), ["x"], "out", depth)) == kept
+    assert any(r[4] for r in kept)
+    assert rows(pruned_tree(g, ids_df(spark, roots), ["x"], "out", 5, limit=2)) == rows(prune_tree(tree, ["x"], limit=2))
+    assert pruned_tree(g, ids_df(spark, roots), ["no such type"], "out", 3).count() == 0
+
+
 def test_path_tree_expands_every_path_until_a_cycle(spark, make):
     g = make({"R": ("r", 1, None), "A": ("a", 1, None), "B": ("b", 1, None), "C": ("c", 1, None)}, [("R", "A"), ("R", "B"), ("A", "C"), ("B", "C"), ("C", "A")])
     t = path_tree(g, ids_df(spark, "R"))
