@@ -19,8 +19,10 @@ are read, so other columns may have any name.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,24 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.bpe import share
-from refloom.llm.text import Words, buffer, in_small_batches, pieces
+from refloom.llm.bpe import byte_symbols, share
+from refloom.llm.text import LOWER, SPACE, buffer, in_small_batches, pieces
 from refloom.plans.runtime import cut
 
 WINDOW = 2_048
 LEAST = 256  # the shortest tier
 STEP = 1 << 19  # tokens of a step group
-REMEMBER = 24 << 20  # bytes of words whose ids a task keeps
+REMEMBER = 64 << 20  # bytes of words and of their ids that a worker process keeps
+# kinds of bytes: 0 white space, 1 other, 2 one of the stops below, 3 ASCII letter or digit
+KIND = np.ones(256, np.uint8)
+KIND[SPACE] = 0
+KIND[list(b",.;:!?")] = 2
+KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = 3
+BREAK = np.zeros(16, bool)  # kinds of two bytes in a row (4 * first + second) between which a word starts or ends
+BREAK[[0, 1, 2, 3, 4, 8, 12, 2 * 4 + 3, 3 * 4 + 2]] = True
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+# each such letter beyond ASCII as the vocabulary writes its two bytes
+SYMBOLS = {c: "".join(byte_symbols()[b] for b in chr(c).encode("utf-8")) for c in range(0xDF, 0x100)}
 
 
 @dataclass
@@ -162,10 +174,13 @@ def plan(counts: dict[int, int], full: int, window: int = WINDOW, least: int = L
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word of white-space-free characters.
+    """The tokenizers library, asked once for each distinct word.
 
-    The vocabulary's normalizer and splitter never join what ASCII white space parts; texts that may hold an added token go to
-    the library whole.
+    A word is cut at ASCII white space, and where one of ``, . ; : ! ?`` meets an ASCII letter or digit: the vocabulary's normalizer and
+    splitter never join what stands on both sides of such a place.  ASCII letters are looked up in lower case, as the normalizer makes
+    them, unless a mark that could join them follows somewhere.  Words of lower-case Latin letters alone pass the normalizer and the splitter
+    unchanged, so they go to the library's model at once.  Texts that may hold an added token go to the library whole.  Words are kept
+    from task to task within REMEMBER bytes.
     """
 
     def __init__(self, file: str):
@@ -175,57 +190,80 @@ class Encoder:
         self.library = Tokenizer.from_file(file)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.flat, self.starts, self.bytes = np.zeros(0, self.type), np.zeros(1, np.int64), 0
+        self.known = pa.array([], pa.binary())
+        self.flat, self.starts = np.zeros(0, self.type), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self._ids([w.decode("utf-8") for w in words])
+    def _learn(self, words: pa.Array) -> None:
+        texts = words.cast(pa.string()).to_pylist()
+        tokens = self.model.tokenize
+        found: list = [[t.id for t in tokens(w.translate(SYMBOLS))] if LATIN.fullmatch(w) else None for w in texts]
+        other = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(other, self._ids([texts[i] for i in other])):
+            found[i] = ids
         ends = np.cumsum([len(f) for f in found]) + self.starts[-1]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), self.type, int(ends[-1] - self.starts[-1]))])
-        at = len(self.slots)
-        self.slots.update(zip(words, range(at, at + len(words))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.type, int(ends[-1] - self.starts[-1]))])
+        self.known = pa.concat_arrays([self.known, words])
         self.starts = np.concatenate([self.starts, ends])
-        self.bytes += sum(map(len, words))
+
+    def _slots(self, distinct: pa.Array) -> np.ndarray:
+        if self.known.nbytes + self.flat.nbytes + self.starts.nbytes > REMEMBER:
+            self.forget()
+        slot = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn(distinct.take(pa.array(new)))
+        return slot
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         whole = pc.fill_null(pc.match_substring(column, "<|"), False)
-        words = Words(*buffer(pc.if_else(whole, "", column)))
-        sizes = words.end - words.start
-        solid = words.data[words.solid]
-        if len(solid) >= 1 << 31:
-            kind, width = pa.large_binary(), np.int64
+        data, offsets = buffer(pc.if_else(whole, "", column))
+        start, end, solid = _words(data, offsets)
+        sizes = end - start
+        letters = LOWER[data]
+        if (data - 0xCC <= 1).any():  # lead bytes of combining marks, with which letters of one case alone may join
+            wide = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(data >= 128, out=wide[1:])
+            letters = np.where(np.repeat(wide[end] > wide[start], sizes), data[solid], letters[solid])
         else:
-            kind, width = pa.binary(), np.int32
-        offsets = np.zeros(len(words) + 1, width)
-        np.cumsum(sizes, out=offsets[1:])
-        coded = pa.Array.from_buffers(kind, len(words), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if self.bytes > REMEMBER:
-            self.forget()
-        new = [w for w in distinct if w not in self.slots]
-        if new:
-            self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
-        start = self.starts[slot]
-        counts = self.starts[slot + 1] - start
+            letters = letters[solid]
+        places = np.zeros(len(start) + 1, np.int32)
+        np.cumsum(sizes, out=places[1:])
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        first = self.starts[slot]
+        counts = self.starts[slot + 1] - first
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(start - ends + counts, counts) + np.arange(total)]
-        at = np.concatenate([[0], ends])[words.at]
-        out = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+        flat = self.flat[np.repeat(first - ends + counts, counts) + np.arange(total)]
+        at = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        out = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             out[i] = np.array(self._ids([column[i].as_py()])[0], self.type)
         return out
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte positions where words start and end, and which bytes lie in words."""
+    n = len(data)
+    kind = KIND[data]
+    begins = np.zeros(n + 1, bool)
+    begins[1:n] = BREAK[kind[:-1] * 4 + kind[1:]]
+    begins[offsets] = True
+    begins[0] = begins[n] = True
+    solid = kind > 0
+    return np.flatnonzero(solid & begins[:n]), np.flatnonzero(solid & begins[1:]) + 1, solid
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -243,25 +281,22 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", end: int = 1, win
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(file)
         part, full, seen = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
-        try:
-            for batch in pieces(batches, most=1 << 21):
-                ids = [np.append(x, encoder.type(end)) for x in encoder.encode(batch.column("text").cast(pa.string()))]
-                before, rank = [], []
-                for x in ids:
-                    over = len(x) % window
-                    before.append(full)
-                    rank.append(int(seen[over]))
-                    full += len(x) // window
-                    seen[over] += 1
-                n = len(ids)
-                wide = pa.array(np.full(n, encoder.type is np.uint32))
-                tokens = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key), pa.array([x.tobytes() for x in ids], pa.binary()), tokens, wide, pa.array(np.full(n, part), pa.int64()), pa.array(before, pa.int64()), pa.array(rank, pa.int64())],
-                    names=["key", "ids", "tokens", "wide", "part", "before", "rank"],
-                )
-        finally:
-            encoder.forget()  # workers live on after the task
+        for batch in pieces(batches, most=1 << 23):
+            ids = [np.append(x, encoder.type(end)) for x in encoder.encode(batch.column("text").cast(pa.string()))]
+            before, rank = [], []
+            for x in ids:
+                over = len(x) % window
+                before.append(full)
+                rank.append(int(seen[over]))
+                full += len(x) // window
+                seen[over] += 1
+            n = len(ids)
+            wide = pa.array(np.full(n, encoder.type is np.uint32))
+            tokens = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array([x.tobytes() for x in ids], pa.binary()), tokens, wide, pa.array(np.full(n, part), pa.int64()), pa.array(before, pa.int64()), pa.array(rank, pa.int64())],
+                names=["key", "ids", "tokens", "wide", "part", "before", "rank"],
+            )
 
     return in_small_batches(docs).select(key, "text").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary, tokens long, wide boolean, part long, before long, rank long")
 

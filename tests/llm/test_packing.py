@@ -123,4 +123,15 @@ def test_words_are_forgotten_within_bounds(monkeypatch):
     encoder, library = packing.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
     for text in ("one two three four", "two five", "one six"):
         assert encoder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(encoder.slots) <= 4
+    assert len(encoder.known) <= 4
+
+
+def test_words_as_the_library_splits_them():
+    import pyarrow as pa
+
+    encoder, library = packing.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    rng = random.Random(9)
+    signs = ["a", "B", "7", ".", ",", "!", "'", "(", "\u20ac", "\u0301", "H\u0331", "\u00c9", "\u00e9", "\u00df", "\u00f7", "\u0149", " ", "\n", "\u00a0", "\u2003", "-", ":", "s", "<", "|", ">"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3_000)]
+    got = encoder.encode(pa.array([*texts, None, ""], pa.string()))
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, "", ""]]
