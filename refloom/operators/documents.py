@@ -126,8 +126,9 @@ def node_paths(entries: DataFrame, unnamed: str = "skip", any_type: bool = False
     """(doc_id, idx, path): names joined from the root down the ``_parent`` chain.
 
     ``unnamed`` says how an entry without a name appears: ``skip`` (left out), ``index`` (``#idx``) or
-    ``empty`` (an empty segment).  Only node-typed entries count unless ``any_type``.  Levels are
-    resolved from the roots, each entry once; entries on a parent cycle are climbed separately.
+    ``empty`` (an empty segment).  Only node-typed entries count unless ``any_type``.  Every round doubles the
+    part of the chain that an entry knows, so jobs grow with the logarithm of the depth; entries whose chain is longer than
+    their document are on or below a parent cycle and are climbed separately.
     """
     name = F.try_variant_get("entry", "$._name", "string")
     shown = {
@@ -138,27 +139,28 @@ def node_paths(entries: DataFrame, unnamed: str = "skip", any_type: bool = False
     rows = entries.where(F.col("idx").isNotNull())
     if not any_type:
         rows = rows.where(is_node_type())
+    seg = F.when(F.col("seg").isNotNull(), F.array("seg")).otherwise(F.array().cast("array<string>"))
     info = cut(rows.select("doc_id", "idx", ref_at("entry", "$._parent").alias("parent"), shown.alias("seg"))).df
-    present = info.select("doc_id", F.col("idx").alias("parent"), F.lit(True).alias("_in"))
-    linked = cut(info.join(present, ["doc_id", "parent"], "left")).df
-    frontier = cut(
-        linked.where(F.col("_in").isNull()).select("doc_id", "idx", F.when(F.col("seg").isNotNull(), F.array("seg")).otherwise(F.array().cast("array<string>")).alias("segs"))
-    )
-    below = linked.where("_in").select("doc_id", F.col("idx").alias("child"), F.col("parent").alias("idx"), "seg")
-    seen = Levels()
-    seen.add(frontier)
-    while not frontier.empty:
-        grown = below.join(frontier.hinted(), ["doc_id", "idx"]).select(
-            "doc_id", F.col("child").alias("idx"),
-            F.when(F.col("seg").isNotNull(), F.concat("segs", F.array("seg"))).otherwise(F.col("segs")).alias("segs"),
-        )
-        frontier = cut(grown)
-        if not frontier.empty:
-            seen.add(frontier)
-    found = seen.frame().select("doc_id", "idx", F.array_join("segs", "/").alias("path"))
-    looped = cut(linked.join(found.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti").select("doc_id", "idx", "parent", "seg"))
-    if looped.empty:
+    state = cut(info.select("doc_id", "idx", F.col("parent").alias("at"), seg.alias("segs")))
+    sizes = info.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    known, loose, reach = state, None, 1
+    while True:
+        above = known.df.select("doc_id", F.col("idx").alias("at"), F.col("at").alias("_at"), F.col("segs").alias("_segs"))
+        grown = known.df.join(above, ["doc_id", "at"], "left")
+        known = cut(grown.select("doc_id", "idx", F.col("_at").alias("at"), F.concat(F.coalesce("_segs", F.array().cast("array<string>")), "segs").alias("segs")))
+        reach *= 2
+        going = known.df.where("at IS NOT NULL")
+        if going.isEmpty():
+            break
+        # a chain with more steps than its document has entries
+        out = cut(going.join(sizes, "doc_id").where(F.col("_n") < reach).select("doc_id", "idx"))
+        if not out.empty:
+            loose = out.df if loose is None else loose.unionByName(out.df)
+            known = cut(known.df.join(out.hinted(), ["doc_id", "idx"], "left_anti"))
+    found = known.df.select("doc_id", "idx", F.array_join("segs", "/").alias("path"))
+    if loose is None:
         return found
+    looped = cut(info.join(loose, ["doc_id", "idx"], "left_semi").select("doc_id", "idx", "parent", "seg"))
     return found.unionByName(_cycle_paths(looped.df))
 
 

@@ -160,20 +160,17 @@ def closure_items(graph: Graph, roots: DataFrame, types=None) -> DataFrame:
 def closure_sizes(links: DataFrame, nodes: DataFrame, mode: str = "exact", lg_k: int = 12) -> DataFrame:
     """(id, downstream, upstream): closure sizes of every node in both directions.
 
-    ``exact`` expands (root, node) pairs once and reads them both ways, so its cost is the size of the
-    answer; ``approx`` propagates HyperLogLog sketches and moves one sketch per changed node and hop.
+    ``exact`` passes sets of 64 nodes a word from level to level and stores no (root, node) pair; ``approx``
+    propagates HyperLogLog sketches and moves one sketch per changed node and hop.
     """
     if mode == "approx":
         down = _sketch_sizes(links, nodes, lg_k).withColumnRenamed("n", "downstream")
         up = _sketch_sizes(reverse(links.select("src", "dst")), nodes, lg_k).withColumnRenamed("n", "upstream")
         return down.join(up, "id")
-    pairs = cut(closure(links, links.select(F.col("src").alias("id")).distinct())).df
-    down = pairs.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("downstream"))
-    up = pairs.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("upstream"))
+    from refloom.operators.reach import closure_counts
+
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return (
-        nodes.select("id").join(down, "id", "left").join(up, "id", "left").select("id", zero("downstream"), zero("upstream"))
-    )
+    return nodes.select("id").join(closure_counts(links), "id", "left").select("id", zero("downstream"), zero("upstream"))
 
 
 def _sketch_sizes(links: DataFrame, nodes: DataFrame, lg_k: int) -> DataFrame:
@@ -319,9 +316,9 @@ def subtree(parents: DataFrame, seeds: DataFrame, owned: DataFrame | None = None
 
     ``parents`` is (child, parent); ``owned`` is (owner, part) for parts that travel with their owner.
     """
-    links = parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    start = seeds.select(F.col("id").alias("root"), F.col("id").alias("node"))
-    tree = walk(links, start).select("root", "node")
+    from refloom.operators.ancestry import descendants
+
+    tree = descendants(parents, seeds.select(F.col("id").alias("root"), F.col("id").alias("node")))
     if owned is None:
         return tree
     parts = walk(owned.select(F.col("owner").alias("src"), F.col("part").alias("dst")), tree).select("root", "node")
@@ -329,14 +326,14 @@ def subtree(parents: DataFrame, seeds: DataFrame, owned: DataFrame | None = None
 
 
 def is_descendant(pairs: DataFrame, parents: DataFrame) -> DataFrame:
-    """Adds ``descendant``: whether ``candidate`` lies below ``ancestor``.
+    """Adds ``descendant``: whether ``candidate`` lies below ``ancestor``; each child has one parent.
 
-    Climbs from the candidates only, keeping pairs still undecided in the frontier.
+    Candidates are lifted by the difference in depth with doubled pointers, so the jobs grow with the logarithm of
+    the depth and a pair is one row all the way.
     """
-    up = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    start = pairs.select(F.col("candidate").alias("root"), F.col("candidate").alias("node"))
-    above = walk(up, start).where(F.col("hops") > 0).select(F.col("root").alias("candidate"), F.col("node").alias("ancestor"))
-    hit = above.distinct().withColumn("_hit", F.lit(True))
+    from refloom.operators.ancestry import below
+
+    hit = below(pairs, parents).withColumn("_hit", F.lit(True))
     return pairs.join(hit, ["candidate", "ancestor"], "left").select(
         "ancestor", "candidate", F.coalesce("_hit", F.lit(False)).alias("descendant")
     )

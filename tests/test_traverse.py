@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.operators import traverse as tv
+from refloom.operators.ancestry import jumps
 from refloom.operators.scc import cycle_members
 from refloom.operators.snapshot import snapshot, snapshot_fit
 from refloom.operators.trees import dep_tree, path_to_root, path_tree, prune_tree, pruned_tree
@@ -214,3 +215,30 @@ def test_long_chain_of_components_ends(spark, make):
     edges = [(names[i], names[i + 1]) for i in range(7)] + [(names[i + 1], names[i]) for i in range(0, 8, 2)]
     got = {r.member: r.group for r in cycle_members(make(names, edges).edges).collect()}
     assert got == {names[i + k]: max(names[i], names[i + 1]) for i in range(0, 8, 2) for k in (0, 1)}
+
+
+def test_parent_chains_by_doubling(spark):
+    rnd = random.Random(8)
+    up = {f"n{i}": f"n{rnd.randrange(max(0, i - 6), i)}" for i in range(1, 120)}
+    up |= {f"c{i}": f"c{i - 1}" for i in range(1, 70)}
+    up |= {"x": "y", "y": "z", "z": "x", "below": "x", "self": "self"}
+    parents = spark.createDataFrame(list(up.items()), "child string, parent string")
+
+    def above(n):
+        out = []
+        while n in up and up[n] not in out:
+            n = up[n]
+            out.append(n)
+        return out
+
+    ids = sorted(set(up) | set(up.values()))
+    pairs = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(150)] + [(a, c) for c in ("c69", "below", "x", "n119", "self") for a in above(c)[:9]] + [("n0", "n0"), ("nobody", "n5"), ("n0", "nobody")]
+    pairs = sorted(set(pairs))
+    got = {(r.ancestor, r.candidate): r.descendant for r in tv.is_descendant(spark.createDataFrame(pairs, "ancestor string, candidate string"), parents).collect()}
+    assert got == {(a, c): a != c and a in above(c) for a, c in pairs}
+    seeds = ["n0", "n60", "c0", "c40", "x", "below", "leaf"]
+    got = {(r.root, r.node) for r in tv.subtree(parents, ids_df(spark, seeds)).collect()}
+    assert got == {(s, s) for s in seeds} | {(s, n) for n in ids for s in seeds if s in above(n)}
+    chain = spark.createDataFrame([(f"{i}", f"{i - 1}") for i in range(1, 1000)], "child string, parent string")
+    found = jumps(chain)
+    assert len(found.up) == 10 and found.looped is None and {r.node: r.depth for r in found.depth.collect()}["999"] == 999
