@@ -1,15 +1,20 @@
 """Incremental refresh: changed documents replace their references, edges follow.
 
-One query with ``foreachBatch`` applies updates strictly in order.  The raw-reference table is the
-state: parquet partitioned by a hash bucket of the document id, so a batch rewrites only the buckets it
-touches, each document by its latest version.  Batches are idempotent - replaying one writes the same
-rows - so the usual checkpoint of the query is all that is needed after a failure.
+The state is a change log.  A micro-batch appends, for each document it changes, one head row and one row a reference, all with
+the document's version and the batch's epoch; nothing older is read or rewritten.  A document without references leaves its
+head row alone, which is its tombstone.  The current references of a document are the rows of its greatest (version, epoch), so an older
+change that arrives late loses wherever it stands, and replaying a batch overwrites its own epoch with the same rows.
+
+Compaction writes the current rows as the base of the next generation once the log has outgrown the base, so that the work is a
+constant factor of what was appended.  A generation counts from the moment its row stands in the commit table; one that was
+broken off is overwritten by the next attempt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,13 +22,9 @@ from pyspark.sql.streaming import StreamingQuery
 from refloom.model import edges_from_links
 from refloom.plans.runtime import cut
 
-BUCKETS = 64
-PARTS = 8  # tasks that write a bucket
-RAW_SCHEMA = "src string, ref string, kind string, version long, bucket int"
-
-
-def bucket_of(col="src", buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
+BUCKETS = 64  # files of a batch at most
+BASE = -1  # epoch of the compacted rows
+LOG_SCHEMA = "src string, ref string, kind string, version long, generation long, epoch long"
 
 
 def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "version") -> DataFrame:
@@ -33,75 +34,99 @@ def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "ver
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, empty where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
+def generation(spark: SparkSession, table: str) -> int:
+    """The committed generation; one row a compaction is read."""
+    return _read(spark, f"{table}/commits", "generation long").agg(F.max("generation").alias("g")).first()["g"] or 0
 
-def _part():
-    """Splits a bucket over several tasks."""
-    return F.pmod(F.xxhash64("src", F.lit(1)), F.lit(PARTS))
 
+def change_log(spark: SparkSession, table: str) -> DataFrame:
+    """(src, ref, kind, version, epoch) of the committed generation; rows without a reference are heads."""
+    now = generation(spark, table)  # a literal, so other generations are not read
+    return _read(spark, f"{table}/log", LOG_SCHEMA).where(F.col("generation") == now).drop("generation")
 
-def merge_refs(spark: SparkSession, table: str, changed: DataFrame, refs: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace the references of ``changed`` (src, version) by ``refs`` (src, ref, kind)."""
-    newest = cut(changed.groupBy("src").agg(F.max("version").alias("version")).withColumn("bucket", bucket_of("src", buckets)))
-    fresh = refs.select("src", "ref", "kind").join(newest.df, "src").select("src", "ref", "kind", "version", "bucket")
-    out, written = fresh, newest.df.select("src")
-    if _exists(spark, table):
-        touched = [r[0] for r in newest.df.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-        old = spark.read.schema(RAW_SCHEMA).parquet(table).where(F.col("bucket").isin(touched))  # literals prune partitions
-        # an older change never overwrites a newer state
-        have = old.groupBy("src").agg(F.max("version").alias("_have"))
-        stale = have.join(newest.df.select("src", "version"), "src").where(F.col("_have") > F.col("version")).select("src")
-        replaced = newest.df.select("src").join(stale, "src", "left_anti")
-        kept = old.join(replaced, "src", "left_anti").select("src", "ref", "kind", "version", "bucket")
-        out, written = kept.unionByName(fresh.join(stale, "src", "left_anti")), replaced
-    # a document that lost its last reference keeps a marker row, so its bucket is still rewritten
-    markers = newest.df.join(written, "src", "left_semi").select("src", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), "version", "bucket")
-    result = cut(out.unionByName(markers.join(out.select("src"), "src", "left_anti")))
-    result.df.repartition("bucket", _part()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+def current_rows(spark: SparkSession, table: str) -> DataFrame:
+    """Heads and references of each document's greatest (version, epoch)."""
+    log = change_log(spark, table)
+    # one number that orders by version, then epoch: aggregated by hash, unlike a struct
+    order = F.col("version").cast("decimal(19,0)") * F.lit(1 << 32) + F.col("epoch") + 1
+    ranked = log.withColumn("_order", order)
+    heads = ranked.where("ref IS NULL").groupBy("src").agg(F.max("_order").alias("_last")).withColumnRenamed("src", "_src")
+    return ranked.join(heads, (F.col("src") == F.col("_src")) & (F.col("_order") == F.col("_last"))).select("src", "ref", "kind", "version")
 
 
 def current_links(spark: SparkSession, table: str) -> DataFrame:
-    raw = spark.read.schema(RAW_SCHEMA).parquet(table)
-    return raw.where(F.col("ref").isNotNull()).select("src", F.col("ref").alias("dst"), "kind")
+    return current_rows(spark, table).where(F.col("ref").isNotNull()).select("src", F.col("ref").alias("dst"), "kind")
 
 
 def current_edges(spark: SparkSession, table: str) -> DataFrame:
     return edges_from_links(current_links(spark, table))
 
 
+def _write(rows: DataFrame, table: str, now: int, epoch: int, buckets: int) -> None:
+    placed = rows.select("src", "ref", "kind", "version", F.lit(now).cast("long").alias("generation"), F.lit(epoch).cast("long").alias("epoch"))
+    writer = placed.repartition(buckets, "src", "ref").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("generation", "epoch").parquet(f"{table}/log")
+
+
+def append_changes(spark: SparkSession, table: str, epoch: int, changed: DataFrame, refs: DataFrame, buckets: int = BUCKETS) -> None:
+    """Log the references ``refs`` (src, ref, kind) of the documents ``changed`` (src, version), each with its latest version."""
+    newest = cut(changed.groupBy("src").agg(F.max("version").alias("version"))).df
+    none = F.lit(None).cast("string")
+    found = refs.where(F.col("ref").isNotNull()).select("src", "ref", "kind").join(newest, "src").select("src", "ref", "kind", "version")
+    _write(newest.select("src", none.alias("ref"), none.alias("kind"), "version").unionByName(found), table, generation(spark, table), epoch, buckets)
+
+
+def compact(spark: SparkSession, table: str, keep: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Write the current rows, of the documents ``keep`` (src) if given, as the next generation and commit it."""
+    now = generation(spark, table)
+    rows = current_rows(spark, table)
+    if keep is not None:
+        rows = rows.join(keep.select("src").distinct(), "src", "left_semi")
+    _write(cut(rows).df, table, now + 1, BASE, buckets)
+    spark.createDataFrame([(now + 1,)], "generation long").write.mode("append").parquet(f"{table}/commits")
+
+
+def compact_if_grown(spark: SparkSession, table: str, buckets: int = BUCKETS) -> bool:
+    """Compact when the log holds more rows than the base it stands on; two numbers are read."""
+    sizes = change_log(spark, table).agg(F.count_if(F.col("epoch") == BASE).alias("base"), F.count_if(F.col("epoch") != BASE).alias("log")).first()
+    grown = sizes["log"] > sizes["base"]
+    if grown:
+        compact(spark, table, buckets=buckets)
+    return grown
+
+
 def refresh_stream(
     stream: DataFrame, extract: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, buckets: int = BUCKETS, available_now: bool = True
 ) -> StreamingQuery:
-    """Run ``extract`` on each micro-batch of (doc_id, version, text) and merge its references.
+    """Run ``extract`` on each micro-batch of (doc_id, version, text) and log its references; batches are applied in order.
 
     ``extract`` maps (doc_id, text) to (src, ref, kind).
     """
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
+    def apply(batch: DataFrame, epoch: int) -> None:
         newest = cut(latest_versions(batch))
         if newest.empty:
             return
         docs = newest.df
         changed = docs.select(F.col("doc_id").cast("string").alias("src"), F.col("version").cast("long").alias("version"))
-        merge_refs(batch.sparkSession, table, changed, extract(docs), buckets)
+        append_changes(batch.sparkSession, table, epoch, changed, extract(docs), buckets)
+        compact_if_grown(batch.sparkSession, table, buckets)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
 def drop_deleted(spark: SparkSession, table: str, present: DataFrame) -> None:
-    """Periodic sweep: forget documents that no longer appear in a full listing (doc_id)."""
-    raw = spark.read.schema(RAW_SCHEMA).parquet(table)
-    gone = cut(raw.join(present.select(F.col("doc_id").cast("string").alias("src")), "src", "left_anti").select("src", "bucket").distinct())
-    if gone.empty:
-        return
-    touched = raw.join(F.broadcast(gone.df.select("bucket").distinct()), "bucket", "left_semi")
-    kept = cut(touched.join(gone.df.select("src"), "src", "left_anti"))
-    emptied = gone.df.select("bucket").distinct().join(kept.df.select("bucket"), "bucket", "left_anti")
-    marker = emptied.select(F.lit("").alias("src"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("version"), "bucket")
-    kept.df.select("src", "ref", "kind", "version", "bucket").unionByName(marker).repartition("bucket", _part()).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("bucket").parquet(table)
+    """Periodic sweep between batches: forget documents that no longer appear in a full listing (doc_id)."""
+    compact(spark, table, present.select(F.col("doc_id").cast("string").alias("src")))

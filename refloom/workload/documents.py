@@ -521,23 +521,35 @@ def apply_batch(spark, sf):
 # ---- refresh -------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT 'W' || page_id AS src, ref AS dst, 'href' AS kind, count(*) AS weight FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF.replace("'", "''")}', 1)) AS ref FROM pages) GROUP BY ALL""")
+# page by page: version 4 brings emptied pages back, version 3 has new links, version 2 empties; of version 1 the later batch counts
+REFRESHED = """CASE WHEN page_id % 7 = 2 AND page_id % 2 = 0 THEN html WHEN page_id % 3 = 0 THEN replace(html, 'href="', 'href="new-')
+  WHEN page_id % 7 = 2 THEN '' WHEN page_id % 11 = 5 THEN replace(html, 'href="', 'href="late-') ELSE html END"""
+
+
+@query(f"""SELECT 'W' || page_id AS src, ref AS dst, 'href' AS kind, count(*) AS weight
+FROM (SELECT page_id, unnest(regexp_extract_all({REFRESHED}, '{HREF.replace("'", "''")}', 1)) AS ref FROM pages) GROUP BY ALL""")
 def refresh_links(spark, sf):
-    """Page links kept by the incremental refresh stream, read back as edges."""
+    """Page links kept by the refresh stream over three batches of new, replaced, older and emptied pages, read back as edges."""
     home = f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
-    docs = stream.select(key("W", "page_id").alias("doc_id"), F.lit(1).cast("long").alias("version"), F.col("html").alias("text"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("n"), key("W", "page_id").alias("doc_id"), "html")
+    text = lambda mark: F.replace("html", F.lit('href="'), F.lit(f'href="{mark}'))
+    change = lambda which, version, body: pages.where(which).select("doc_id", F.lit(version).cast("long").alias("version"), body.alias("text"))
+    batches = [
+        change("true", 1, F.col("html")),
+        change("n % 3 = 0", 3, text("new-")).unionByName(change("n % 5 = 1", 0, F.lit(""))).unionByName(change("n % 7 = 2", 2, F.lit(""))).unionByName(change("n % 7 = 2", 1, F.col("html"))),
+        change("n % 3 = 0", 2, F.col("html")).unionByName(change("n % 7 = 2 AND n % 2 = 0", 4, F.col("html"))).unionByName(change("n % 11 = 5", 1, text("late-"))),
+    ]
 
     def links(batch):
         return batch.select(F.col("doc_id").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(HREF), F.lit(1))).alias("ref"), F.lit("href").alias("kind"))
 
-    refresh_stream(docs, links, f"{home}/refs", f"{home}/offsets").awaitTermination()
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{home}/feed")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{home}/feed")
+        refresh_stream(stream, links, f"{home}/refs", f"{home}/offsets").awaitTermination()
     return current_edges(spark, f"{home}/refs").select("src", "dst", "kind", "weight")
 
 
-
-
 @query("SELECT 'P' || p_partkey AS doc_id, 'u' || p_partkey AS ref, p_size::INTEGER AS depth FROM part")
 def deep_refs(spark, sf):
     """A reference nested as deeply as the part's size (up to 50 levels) is found with its whole path."""

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refloom.streaming.refresh import current_edges, drop_deleted, refresh_stream
+from refloom.streaming.refresh import append_changes, change_log, compact, compact_if_grown, current_edges, drop_deleted, generation, refresh_stream
 
 
 def links(batch):
@@ -23,3 +23,31 @@ def test_changed_documents_replace_their_references(spark, tmp_path):
     assert feed([("a", 1, "old"), ("b", 2, "")]) == {("a", "w"): 1}  # stale change ignored, b lost its last reference
     drop_deleted(spark, table, spark.createDataFrame([("b",), ("c",)], "doc_id string"))
     assert current_edges(spark, table).count() == 0
+
+
+def test_log_compacts_and_batches_replay(spark, tmp_path):
+    table = str(tmp_path / "refs")
+
+    def batch(epoch, rows):
+        changed = spark.createDataFrame([(d, v) for d, v, _ in rows], "src string, version long")
+        refs = spark.createDataFrame([(d, r, "use") for d, _, rs in rows for r in rs], "src string, ref string, kind string")
+        append_changes(spark, table, epoch, changed, refs, 4)
+
+    def edges():
+        return {(r.src, r.dst): r.weight for r in current_edges(spark, table).collect()}
+
+    assert edges() == {} and generation(spark, table) == 0
+    batch(0, [("a", 5, ["x", "x"]), ("b", 1, ["y"]), ("c", 2, [])])
+    assert compact_if_grown(spark, table, 4) and generation(spark, table) == 1
+    want = {("a", "x"): 2, ("b", "y"): 1}
+    assert edges() == want and change_log(spark, table).count() == 6
+    batch(1, [("b", 1, ["z"]), ("c", 1, ["late"]), ("a", 4, ["late"])])  # of equal versions the later batch counts
+    want = {("a", "x"): 2, ("b", "z"): 1}
+    assert edges() == want and not compact_if_grown(spark, table, 4)
+    batch(1, [("b", 1, ["z"]), ("c", 1, ["late"]), ("a", 4, ["late"])])  # replayed
+    assert edges() == want
+    compact(spark, table, buckets=4)
+    batch(1, [("b", 1, ["z"]), ("c", 1, ["late"]), ("a", 4, ["late"])])  # replayed after its rows were compacted
+    assert edges() == want and generation(spark, table) == 2
+    batch(2, [("a", 6, [])])
+    assert edges() == {("b", "z"): 1}
