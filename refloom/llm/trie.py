@@ -28,7 +28,7 @@ from refloom.llm.spill import SpillingQueue
 from refloom.plans.ordering import positions_within
 from refloom.plans.runtime import cut, ensure_checkpoint_dir, union_all
 
-MEMBERS = 1_024
+MEMBERS = 128
 RUN = 10  # bits of a block of a running sum
 CHUNK = 1 << 20  # bytes of joined ids that one row holds
 LIMBS = ["a", "b", "c", "d"]
