@@ -20,7 +20,7 @@ from refloom.operators.documents import (
 )
 from refloom.operators.traverse import cascade_orphans, is_descendant, walk
 from refloom.operators.validate import child_refs, instance_roots
-from refloom.plans.ordering import positions_within
+from refloom.plans.ordering import positions_within, running_sum
 from refloom.plans.runtime import cut, union_all
 
 # ---- text-level reference rewrite --------------------------------------------------------------
@@ -642,45 +642,108 @@ def entry_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff_versions(text(old), text(new), ["doc_id", "idx"])
 
 
+# Kinds that change one entry and move no other: neighbouring steps of a document run in one round, in their order.
+IN_PLACE = ("insert", "reorder", "set")
+
+
+def schedule(ops: DataFrame) -> DataFrame:
+    """``ops`` with ``level``: the round of its document in which a step runs, from 1.
+
+    A document's steps are ranked by ``seq``.  A step opens a new round unless it and the one before it only change entries
+    in place.  Rounds of different documents have nothing to do with each other, whatever their ``seq``.
+    """
+    steps = ops.groupBy("doc_id", "seq").agg(F.bool_and(F.col("kind").isin(*IN_PLACE)).alias("_easy"))
+    ranked = cut(positions_within(steps, ["doc_id"], ["seq"], "_rank")).df
+    before = ranked.select("doc_id", (F.col("_rank") + 1).alias("_rank"), F.col("_easy").alias("_before"))
+    opens = ranked.join(before, ["doc_id", "_rank"], "left").withColumn("_opens", (~(F.col("_easy") & F.coalesce("_before", F.lit(False)))).cast("int"))
+    opens = cut(opens).df
+    most = opens.agg(F.max("_rank").alias("n")).first()["n"] or 0
+    levels = running_sum(opens, ["doc_id"], "_rank", "_opens", most, "level").select("doc_id", "seq", F.col("level").cast("int").alias("level"))
+    return ops.join(levels, ["doc_id", "seq"])
+
+
+def _structural(rows: DataFrame) -> Column:
+    return F.substring_index("prop", ".", -1).isin("_children", "_components") & (F.col("kind") != "set")
+
+
+def _round(entries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries', errors) of one round over the documents it touches."""
+    said = lambda df: df.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("error").alias("error"))
+    noted = lambda df: df.where("level = 'error'").select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("note").alias("error"))
+    # the round has one step of each document, or several that change entries in place
+    of_step = lambda bad: bad.join(rows.groupBy("doc_id").agg(F.min("seq").alias("seq")), "doc_id").select("doc_id", "seq", "error")
+    kinds = sorted(r["kind"] for r in rows.select("kind").distinct().collect())  # a handful of op names
+    cur, errors = entries, []
+    easy = [k for k in kinds if k in IN_PLACE]
+    for kind in [*(["in place"] if easy else []), *(k for k in kinds if k not in IN_PLACE)]:
+        part = rows.where(F.col("kind").isin(*easy)) if kind == "in place" else rows.where(F.col("kind") == kind)
+        docs = part.select("doc_id").distinct()
+        own, rest = cur.join(docs, "doc_id", "left_semi"), cur.join(docs, "doc_id", "left_anti")
+        if kind == "in place":
+            refused = part.where(_structural(part)).select("doc_id", "seq", F.lit("structural list: use the node and component edits").alias("error"))
+            own, notes = apply_updates(own, part.where(~_structural(part)).select("doc_id", "idx", "seq", F.col("kind").alias("op"), "prop", "value"))
+            errors += [said(refused), noted(notes)]
+        elif kind == "remove":
+            own, notes = array_edit(own, part.select("doc_id", "idx", "seq", F.lit(kind).alias("op"), "prop", "value"))
+            errors.append(noted(notes))
+        elif kind == "set_ref":
+            own, notes = set_refs(own, part.select("doc_id", "idx", "seq", "prop", "target"))
+            errors.append(noted(notes))
+        elif kind == "set_parent":
+            own, bad = set_parent(own, part.select("doc_id", "idx", F.col("target").alias("new_parent"), "pos"))
+            errors.append(of_step(bad))
+        elif kind == "delete":
+            own, _, bad = delete_entries(own, part.select("doc_id", "idx"))
+            errors.append(of_step(bad))
+        elif kind == "add_component":
+            own, bad = add_components(own, part.select("doc_id", "seq", F.col("idx").alias("node"), F.col("value").alias("type")))
+            errors.append(said(bad))
+        elif kind == "add_node":
+            own, bad = add_nodes(own, part.select("doc_id", "seq", F.col("idx").alias("parent"), F.col("value").alias("name"), "pos"))
+            errors.append(said(bad))
+        elif kind == "override":
+            own, bad = upsert_overrides(own, part.select("doc_id", "seq", F.col("idx").alias("node"), "prop", "value"))
+            errors.append(said(bad))
+        elif kind == "cross_ref":
+            wants = part.select("doc_id", "seq", F.col("idx").alias("source"), "prop", F.col("target").alias("instance"), F.col("value").alias("target_id"), F.col("pos").alias("inline"))
+            own, bad = add_cross_refs(own, wants)
+            errors.append(said(bad))
+        else:
+            errors.append(part.select("doc_id", "seq", F.lit(f'unknown edit op "{kind}"').alias("error")))
+        cur = entry_table(own.select("doc_id", "idx", "type", "entry").unionByName(rest.select("doc_id", "idx", "type", "entry")))
+    return cur, union_all(errors)
+
+
 def apply_batch(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries', errors): ordered instructions, all or nothing per document.
 
-    ``ops`` is (doc_id, seq, kind, idx, prop, value, target, pos) with kind one of set, reorder, remove,
-    insert, set_ref, set_parent, delete, add_component.  Steps of equal ``seq`` run together over all
-    documents; a document with any error keeps its original entries.
+    ``ops`` is (doc_id, seq, kind, idx, prop, value, target, pos) with kind one of set, reorder, remove, insert, set_ref,
+    set_parent, delete, add_component (value: type), add_node (idx: parent, value: name), override (idx: instance root) and
+    cross_ref (idx: source, target: instance root, value: file id, pos: index here or null).  There are as many rounds as the
+    longest batch of one document has after fusing; a round reads only the documents that have a step in it.  A document leaves
+    with its last step, or with its first error, and then keeps its original entries.
     """
-    ops = cut(ops.withColumn("seq", F.col("seq").cast("int"))).df
-    order = [int(r["seq"]) for r in ops.select("seq").distinct().orderBy("seq").collect()]  # one row per step
-    cur, failed = entry_table(entries), []
-    for seq in order:
-        step = cut(ops.where(F.col("seq") == seq)).df
-        kinds = {r["kind"] for r in step.select("kind").distinct().collect()}  # a handful of op names
-        for kind in sorted(kinds):
-            rows = step.where(F.col("kind") == kind)
-            if kind == "set":
-                cur, notes = apply_updates(cur, rows.select("doc_id", "idx", "seq", F.lit("set").alias("op"), "prop", "value"))
-            elif kind in ("reorder", "remove", "insert"):
-                cur, notes = array_edit(cur, rows.select("doc_id", "idx", "seq", F.lit(kind).alias("op"), "prop", "value"))
-            elif kind == "set_ref":
-                cur, notes = set_refs(cur, rows.select("doc_id", "idx", "seq", "prop", "target"))
-            elif kind == "set_parent":
-                cur, bad = set_parent(cur, rows.select("doc_id", "idx", F.col("target").alias("new_parent"), "pos"))
-                notes = bad.select("doc_id", F.lit("error").alias("level"), F.col("error").alias("note"))
-            elif kind == "delete":
-                cur, _, bad = delete_entries(cur, rows.select("doc_id", "idx"))
-                notes = bad.select("doc_id", F.lit("error").alias("level"), F.col("error").alias("note"))
-            elif kind == "add_component":
-                cur, bad = add_components(cur, rows.select("doc_id", "seq", F.col("idx").alias("node"), F.col("value").alias("type")))
-                notes = bad.select("doc_id", F.lit("error").alias("level"), F.col("error").alias("note"))
-            else:
-                notes = rows.select("doc_id", F.lit("error").alias("level"), F.lit(f'unknown edit op "{kind}"').alias("note"))
-            failed.append(cut(notes.where(F.col("level") == "error").select("doc_id", F.lit(seq).alias("seq"), F.col("note").alias("error"))).df)
-            cur = entry_table(cur)
-    errors = union_all(failed) if failed else ops.select("doc_id", "seq", F.lit("").alias("error")).where(F.lit(False))
-    bad_docs = errors.select("doc_id").distinct()
     cols = ["doc_id", "idx", "type", "entry"]
-    kept = cur.join(bad_docs, "doc_id", "left_anti").select(*cols)
-    return kept.unionByName(entries.join(bad_docs, "doc_id", "left_semi").select(*cols)), errors
+    plan = cut(schedule(cut(ops.withColumn("seq", F.col("seq").cast("int"))).df)).df
+    ends = cut(plan.groupBy("doc_id").agg(F.max("level").alias("_end"))).df
+    rounds = ends.agg(F.max("_end").alias("n")).first()["n"] or 0
+    cur = entry_table(entries.select(*cols).join(ends.select("doc_id"), "doc_id", "left_semi"))
+    done, failed = [], []
+    for level in range(1, rounds + 1):
+        rows = cut(plan.where(F.col("level") == level).join(cur.select("doc_id").distinct(), "doc_id", "left_semi")).df if failed else cut(plan.where(F.col("level") == level)).df
+        cur, errors = _round(cur, rows)
+        errors = cut(errors)
+        left = cur.join(ends, "doc_id")
+        if not errors.empty:
+            failed.append(errors.df)
+            left = left.join(errors.df.select("doc_id").distinct(), "doc_id", "left_anti")
+        left = cut(left).df
+        done.append(left.where(F.col("_end") == level).select(*cols))
+        cur = left.where(F.col("_end") > level).select(*cols)
+    errors = union_all(failed) if failed else plan.select("doc_id", "seq", F.lit("").alias("error")).where(F.lit(False))
+    kept = ends.join(errors.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = entries.select(*cols).join(kept.select("doc_id"), "doc_id", "left_anti")
+    return union_all([whole, *done]), errors
 
 
 def documents_text(entries: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.plans.runtime import cut
@@ -45,3 +45,18 @@ def positions_within(df: DataFrame, group: list[str], order: list[str], name: st
     starts = ranked.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group]).agg(F.min("_gpos").alias("_start"))
     on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
     return ranked.join(starts, on).select(*df.columns, (F.col("_gpos") - F.col("_start")).alias(name))
+
+
+def running_sum(df: DataFrame, group: list[str], pos: str, value: str, most: int, name: str = "run", bits: int = 12) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the group up to ``pos`` (unique, 0 to ``most``), block by block.
+
+    A window never holds more than 2**``bits`` rows, so a group that has very many rows is shared by many tasks.
+    """
+    frame = Window.partitionBy(*group, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumn("_block", F.shiftright(pos, bits)).withColumn(name, F.sum(value).over(frame))
+    if most < 1 << bits:
+        return local.drop("_block")
+    blocks = local.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
+    carried = running_sum(blocks, group, "_block", "_sum", most >> bits, "_carry", bits)
+    carried = carried.select(*group, "_block", (F.col("_carry") - F.col("_sum")).alias("_carry"))
+    return local.join(carried, [*group, "_block"]).select(*df.columns, (F.col(name) + F.col("_carry")).alias(name))

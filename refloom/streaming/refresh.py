@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,25 +33,21 @@ def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "ver
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, empty where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def create_table(spark: SparkSession, table: str) -> None:
+    """An empty log of generation 0; does nothing where the table exists."""
+    spark.createDataFrame([(0,)], "generation long").write.mode("ignore").parquet(f"{table}/commits")
+    spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").partitionBy("generation", "epoch").parquet(f"{table}/log")
 
 
 def generation(spark: SparkSession, table: str) -> int:
     """The committed generation; one row a compaction is read."""
-    return _read(spark, f"{table}/commits", "generation long").agg(F.max("generation").alias("g")).first()["g"] or 0
+    return spark.read.schema("generation long").parquet(f"{table}/commits").agg(F.max("generation").alias("g")).first()["g"] or 0
 
 
 def change_log(spark: SparkSession, table: str) -> DataFrame:
     """(src, ref, kind, version, epoch) of the committed generation; rows without a reference are heads."""
     now = generation(spark, table)  # a literal, so other generations are not read
-    return _read(spark, f"{table}/log", LOG_SCHEMA).where(F.col("generation") == now).drop("generation")
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{table}/log").where(F.col("generation") == now).drop("generation")
 
 
 def current_rows(spark: SparkSession, table: str) -> DataFrame:
@@ -123,6 +118,7 @@ def refresh_stream(
         append_changes(batch.sparkSession, table, epoch, changed, extract(docs), buckets)
         compact_if_grown(batch.sparkSession, table, buckets)
 
+    create_table(stream.sparkSession, table)
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 

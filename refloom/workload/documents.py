@@ -414,26 +414,50 @@ def rewrite_counts(spark, sf):
     return ed.rewrite_refs(part_docs(spark, sf), m)[1].select("doc_id", "old", "n")
 
 
+# the entries of a part document as they are written, keys in order
+SHOWN = {
+    0: """'{"__type__":"cc.Prefab","_name":"' || p_name || '","data":{"__id__":1}}'""",
+    1: """'{"__type__":"cc.Node","_children":[{"__id__":2}],"_components":[],"_name":"' || p_brand || '","_parent":null,"_prefab":{"__id__":4}}'""",
+    2: """'{"__type__":"cc.Node","_children":[],"_components":[{"__id__":3}],"_name":"' || p_name || '","_parent":{"__id__":1},"_prefab":null}'""",
+    3: """'{"__type__":"cc.Sprite","_clips":[null,{"__uuid__":"' || type_id || '"}],"_events":[{"__id__":5}],"_spriteFrame":{"__uuid__":"' || brand_id || '@' || p_size || '"},"node":{"__id__":2}}'""",
+    4: """'{"__type__":"cc.PrefabInfo","asset":{"__uuid__":"' || name_id || '"},"fileId":"f' || p_partkey || '","root":{"__id__":1}}'""",
+    5: """'{"__type__":"cc.ClickEvent","_componentId":"' || type_token || '","handler":"on' || p_size || '"}'""",
+}
+
+
+def _shown(changed: dict[int, str], where: str = "true", drop: tuple[int, ...] = ()) -> str:
+    """SQL rows (doc_id, idx, value) of every part document with some entries changed."""
+    rows = {i: v for i, v in (SHOWN | changed).items() if i not in drop}
+    return " UNION ALL ".join(f"SELECT doc_id, {i}::INTEGER AS idx, {v} AS value FROM pd WHERE {where}" for i, v in rows.items())
+
+
+def _entries_as_text(entries):
+    return entries.select("doc_id", "idx", F.to_json("entry").alias("value"))
+
+
 @query(f"""WITH {DOCS}
-SELECT doc_id, 'ok' AS what, '{{"__type__":"cc.Node","_children":[],"_components":[{{"__id__":3}}],"_name":"' || upper(p_name) || '","_parent":{{"__id__":1}},"_prefab":null}}' AS value FROM pd
-UNION ALL SELECT doc_id, 'error', 'no existing property "_nope"' FROM pd UNION ALL SELECT doc_id, 'warning', 'value kind "number" differs from "asset"' FROM pd""")
+SELECT doc_id, idx, 'entry' AS what, value FROM ({_shown({2: SHOWN[2].replace("p_name", "upper(p_name)"), 3: SHOWN[3].replace('{"__uuid__":"' + "' || brand_id || '@' || p_size || '" + '"}', "1")})})
+UNION ALL SELECT doc_id, 2, 'error', 'no existing property "_nope"' FROM pd UNION ALL SELECT doc_id, 3, 'warning', 'value kind "number" differs from "asset"' FROM pd""")
 def apply_updates(spark, sf):
-    """A rename, a typo and a type drift in every document."""
+    """A rename, a typo and a type drift in every document; all entries and notes."""
     p, e = table(spark, sf, "part"), dc.doc_entries(part_docs(spark, sf))
     d = key("P", "p_partkey").alias("doc_id")
     up = lambda i, prop, v: p.select(d, F.lit(i).alias("idx"), F.lit(0).alias("seq"), F.lit("set").alias("op"), F.lit(prop).alias("prop"), v.alias("value"))
     ups = up(2, "_name", F.concat(F.lit('"'), F.upper("p_name"), F.lit('"'))).unionByName(up(2, "_nope", F.lit("1"))).unionByName(up(3, "_spriteFrame", F.lit("1")))
     out, notes = ed.apply_updates(e, ups)
-    kept = out.where(F.col("idx") == 2).select("doc_id", F.lit("ok").alias("what"), F.to_json("entry").alias("value"))
-    return kept.unionByName(notes.select("doc_id", F.col("level").alias("what"), F.col("note").alias("value")))
+    kept = _entries_as_text(out).select("doc_id", "idx", F.lit("entry").alias("what"), "value")
+    return kept.unionByName(notes.select("doc_id", "idx", F.col("level").alias("what"), F.col("note").alias("value")))
+
+
+DELETED = {1: SHOWN[1].replace('[{"__id__":2}]', "[]").replace('"__id__":4', '"__id__":2'), 2: SHOWN[4]}
 
 
-@query("""SELECT 'P' || p_partkey AS doc_id, idx::INTEGER AS idx, type FROM part, (VALUES (0, 'cc.Prefab'), (1, 'cc.Node'), (2, 'cc.PrefabInfo')) t(idx, type)""")
+@query(f"WITH {DOCS} {_shown(DELETED, drop=(3, 4, 5))}")
 def delete_entries(spark, sf):
-    """The inner node of every document deleted with all it owns; the rest renumbered."""
+    """The inner node of every document deleted with all it owns; the rest renumbered, references included."""
     e = dc.doc_entries(part_docs(spark, sf))
     out, _, _ = ed.delete_entries(e, e.where(F.col("idx") == 2).select("doc_id", "idx"))
-    return out.select("doc_id", "idx", "type")
+    return _entries_as_text(out)
 
 
 @query("""SELECT 'P' || p_partkey AS doc_id, 'removed 3' AS outcome FROM part UNION ALL SELECT 'P' || p_partkey, 'cannot remove the root node' FROM part""")
@@ -443,27 +467,40 @@ def delete_report(spark, sf):
     return report.select("doc_id", F.concat(F.lit("removed "), F.col("removed").cast("string")).alias("outcome")).unionByName(errors.select("doc_id", F.col("error").alias("outcome")))
 
 
-@query("""WITH c AS (SELECT conv_id, max(turn) AS last, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1)
-SELECT conv_id AS doc_id, last::INTEGER AS idx, 0::INTEGER AS parent, '' AS error FROM c WHERE s = 0 AND last > 1
-UNION ALL SELECT conv_id, 0, NULL, 'cannot move a node into its own descendant' FROM c WHERE s = 0 AND last > 0""")
+@query("""WITH c AS (SELECT conv_id, max(turn) AS last, arg_max(role, turn) = 'system' AS last_note, arg_min(role, turn) = 'system' AS first_note FROM conversations GROUP BY 1),
+m AS (SELECT *, last > 1 AND NOT last_note AND NOT first_note AS moved FROM c),
+id AS (SELECT '{"__id__":' AS a, '}' AS b)
+SELECT conv_id AS doc_id, turn::INTEGER AS idx, CASE WHEN moved AND turn = last THEN 0 WHEN turn > 0 THEN turn - 1 END::INTEGER AS parent,
+  CASE WHEN moved AND turn = last - 1 THEN '[]' WHEN moved AND turn = 0 THEN '[' || a || '1' || b || ',' || a || last || b || ']' ELSE '[' || a || (turn + 1) || b || ']' END AS children, '' AS error
+FROM conversations JOIN m USING (conv_id), id
+UNION ALL SELECT conv_id, last::INTEGER, NULL, NULL, CASE WHEN last_note THEN 'not a node' ELSE 'parent is not a node' END FROM m WHERE last > 1 AND NOT moved
+UNION ALL SELECT conv_id, 0, NULL, NULL, CASE WHEN first_note THEN 'not a node' WHEN last_note THEN 'parent is not a node' ELSE 'cannot move a node into its own descendant' END FROM m WHERE last > 0""")
 def set_parent(spark, sf):
-    """The last turn moved below the first; the first refused a move below the last."""
+    """The last turn moved below the first and the first below the last, in every conversation; all entries and refusals."""
     e = conv_entries(spark, sf)
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").cast("int").alias("last"), F.count_if(F.col("role") == "system").alias("s")).where("s = 0")
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").cast("int").alias("last"))
     down = c.where("last > 1").select(F.col("conv_id").alias("doc_id"), F.col("last").alias("idx"), F.lit(0).alias("new_parent"), F.lit(-1).alias("pos"))
     loop = c.where("last > 0").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("idx"), F.col("last").alias("new_parent"), F.lit(-1).alias("pos"))
     out, bad = ed.set_parent(e, down.unionByName(loop))
-    moved = out.join(down.select("doc_id", "idx"), ["doc_id", "idx"]).select("doc_id", "idx", dc.ref_at("entry", "$._parent").alias("parent"), F.lit("").alias("error"))
-    return moved.unionByName(bad.select("doc_id", "idx", F.lit(None).cast("int").alias("parent"), "error"))
+    none = F.lit(None)
+    shown = out.select("doc_id", "idx", dc.ref_at("entry", "$._parent").alias("parent"), F.to_json(F.try_variant_get("entry", "$._children", "variant")).alias("children"), F.lit("").alias("error"))
+    return shown.unionByName(bad.select("doc_id", "idx", none.cast("int").alias("parent"), none.cast("string").alias("children"), "error"))
+
 
+GROWN = {
+    1: SHOWN[1].replace('[{"__id__":2}]', '[{"__id__":2},{"__id__":6}]'),
+    6: """'{"__type__":"cc.Node","_children":[],"_components":[],"_name":"New ' || p_size || '","_parent":{"__id__":1},"_prefab":{"__id__":7}}'""",
+    7: """'{"__type__":"cc.PrefabInfo","asset":{"__id__":0},"fileId":"' || rpad('f6', 22, 'x') || '","root":{"__id__":1}}'""",
+}
 
-@query("""SELECT 'P' || p_partkey AS doc_id, idx::INTEGER AS idx, type, name FROM part, LATERAL (VALUES (6, 'cc.Node', 'New ' || p_size), (7, 'cc.PrefabInfo', NULL)) t(idx, type, name)""")
+
+@query(f"WITH {DOCS} {_shown(GROWN)}")
 def add_nodes(spark, sf):
-    """A node appended to every document from its own template."""
+    """A node appended to every document from its own template, and linked; all entries."""
     p = table(spark, sf, "part")
     adds = p.select(key("P", "p_partkey").alias("doc_id"), F.lit(0).alias("seq"), F.lit(1).alias("parent"), F.concat(F.lit("New "), F.col("p_size").cast("string")).alias("name"), F.lit(-1).alias("pos"))
     out, _ = ed.add_nodes(dc.doc_entries(part_docs(spark, sf)), adds)
-    return out.where(F.col("idx") >= 6).select("doc_id", "idx", "type", F.try_variant_get("entry", "$._name", "string").alias("name"))
+    return _entries_as_text(out)
 
 
 @query("""SELECT 'C' || c_custkey AS doc_id, n::BIGINT AS entries, over::BIGINT AS overrides, v AS value FROM customer, LATERAL (SELECT 12 AS n, 3 AS over, '7' AS v) t""")
@@ -518,6 +555,36 @@ def apply_batch(spark, sf):
     return named.join(comps, "doc_id")
 
 
+BATCHED = {1: SHOWN[1].replace("|| p_brand ||", "|| 'B' ||")}
+LABELLED = BATCHED | {
+    1: BATCHED[1].replace('"_components":[]', '"_components":[{"__id__":6}]'), 2: SHOWN[2].replace("p_name", "upper(p_name)"),
+    6: """'{"__prefab":{"__id__":7},"__type__":"cc.Label","_enabled":true,"_id":"' || rpad('c6', 22, 'x') || '","_name":"","_objFlags":0,"node":{"__id__":1}}'""",
+    7: """'{"__type__":"cc.CompPrefabInfo","fileId":"' || rpad('f6', 22, 'x') || '"}'""",
+}
+PRUNED = {k: v.replace("p_brand", "'B'") for k, v in DELETED.items()}
+
+
+@query(f"""WITH {DOCS}
+SELECT doc_id, idx, value FROM ({_shown(LABELLED, "p_size <= 20")} UNION ALL {_shown(PRUNED, "p_size > 20 AND p_size <= 40", (3, 4, 5))} UNION ALL {_shown({}, "p_size > 40")})
+UNION ALL SELECT doc_id, NULL, 'no such entry' FROM pd WHERE p_size > 40""")
+def batch_documents(spark, sf):
+    """Batches whose step numbers differ from document to document: two renames, then a component, a delete or a failure."""
+    p, e = table(spark, sf, "part"), dc.doc_entries(part_docs(spark, sf))
+    none = F.lit(None)
+
+    def row(seq, kind, idx, prop, value, which="true"):
+        return p.where(which).select(
+            key("P", "p_partkey").alias("doc_id"), (F.col("p_size") * 10 + seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(idx).alias("idx"), F.lit(prop).alias("prop"), value.alias("value"),
+            none.cast("int").alias("target"), none.cast("int").alias("pos"),
+        )
+
+    ops = row(0, "set", 2, "_name", F.concat(F.lit('"'), F.upper("p_name"), F.lit('"'))).unionByName(row(1, "set", 1, "_name", F.lit('"B"')))
+    ops = ops.unionByName(row(7, "add_component", 1, None, F.lit("cc.Label"), "p_size <= 20")).unionByName(row(9, "delete", 2, None, none.cast("string"), "p_size > 20 AND p_size <= 40"))
+    ops = ops.unionByName(row(8, "delete", 77, None, none.cast("string"), "p_size > 40"))
+    out, errors = ed.apply_batch(e, ops)
+    return _entries_as_text(out).unionByName(errors.select("doc_id", none.cast("int").alias("idx"), F.col("error").alias("value")))
+
+
 # ---- refresh -------------------------------------------------------------------------------------------
 
 

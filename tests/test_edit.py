@@ -129,6 +129,32 @@ def test_refs_batches_versions_and_diff(spark, entries):
     assert text["d"] == doc()
 
 
+def test_batches_run_by_rounds_of_each_document(spark, entries):
+    e = entries(d=doc(), f=doc(), g=doc(), h=doc())
+    cols = "doc_id string, seq int, kind string, idx int, prop string, value string, target int, pos int"
+    op = lambda d, seq, kind, idx, prop=None, value=None, target=None, pos=None: (d, seq, kind, idx, prop, value, target, pos)
+    ops = [op("d", s, "set", 2, "_name", f'"N{s}"') for s in (100, 7, 3)]
+    ops += [op("f", 1, "set", 2, "_name", '"A"'), op("f", 900, "delete", 7), op("f", 901, "set", 2, "_name", '"B"'), op("f", 902, "set", 1, "_name", '"C"')]
+    ops += [op("g", 5, "add_node", 1, None, "Fresh", None, -1), op("g", 6, "no such kind", 1)]
+    plan = ed.schedule(spark.createDataFrame(ops, cols))
+    assert {(r.doc_id, r.seq): r.level for r in plan.collect()} == {("d", 3): 1, ("d", 7): 1, ("d", 100): 1, ("f", 1): 1, ("f", 900): 2, ("f", 901): 3, ("f", 902): 3, ("g", 5): 1, ("g", 6): 2}
+    out, errors = ed.apply_batch(e, spark.createDataFrame(ops, cols))
+    out = out.cache()
+    assert read(out)[2]["_name"] == "N100" and read(out, "g") == doc() and read(out, "h") == doc()
+    f = read(out, "f")
+    assert (len(f), f[2]["_name"], f[1]["_name"]) == (8, "B", "C")
+    assert [(r.doc_id, r.seq, r.error) for r in errors.collect()] == [("g", 6, 'unknown edit op "no such kind"')]
+    grown, bad = ed.apply_batch(e, spark.createDataFrame([op("g", 5, "add_node", 1, None, "Fresh", None, -1), op("g", 9, "reorder", 1, "_children", "[0]")], cols))
+    assert [(r.doc_id, r.seq) for r in bad.collect()] == [("g", 9)] and read(grown, "g") == doc()
+    grown, bad = ed.apply_batch(e, spark.createDataFrame([op("g", 5, "add_node", 1, None, "Fresh", None, -1)], cols))
+    assert bad.count() == 0 and any(v.get("_name") == "Fresh" for v in read(grown, "g"))
+    i = entries(d=instance())
+    done, bad = ed.apply_batch(i, spark.createDataFrame([op("d", 0, "override", 3, "_name", '"b"'), op("d", 1, "cross_ref", 10, "link", "deep", 3, None)], cols))
+    assert bad.count() == 0 and read(done)[6]["value"] == "b" and any(v.get("__type__") == "cc.TargetOverrideInfo" for v in read(done))
+    empty, bad = ed.apply_batch(e, spark.createDataFrame([], cols))
+    assert bad.count() == 0 and read(empty) == doc()
+
+
 def instance():
     return [
         {"__type__": "cc.Prefab", "data": R(1)}, {"__type__": "cc.Node", "_name": "Root", "_parent": None, "_children": [R(3)], "_components": [R(10)], "_prefab": R(2)},

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refloom.streaming.refresh import append_changes, change_log, compact, compact_if_grown, current_edges, drop_deleted, generation, refresh_stream
+from refloom.streaming.refresh import append_changes, change_log, compact, compact_if_grown, create_table, current_edges, drop_deleted, generation, refresh_stream
 
 
 def links(batch):
@@ -36,6 +36,7 @@ def test_log_compacts_and_batches_replay(spark, tmp_path):
     def edges():
         return {(r.src, r.dst): r.weight for r in current_edges(spark, table).collect()}
 
+    create_table(spark, table)
     assert edges() == {} and generation(spark, table) == 0
     batch(0, [("a", 5, ["x", "x"]), ("b", 1, ["y"]), ("c", 2, [])])
     assert compact_if_grown(spark, table, 4) and generation(spark, table) == 1
