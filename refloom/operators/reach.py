@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators.scc import cycle_members
 from refloom.plans.ordering import global_positions
-from refloom.plans.runtime import Levels, cut, union_all
+from refloom.plans.runtime import cut, union_all
 
 
 def _words(df: DataFrame, node: str, member: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _levelled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     One job a level; what is left when no sink can be taken away holds all cycles, which are contracted once.
     """
-    done = Levels()
+    done: list[DataFrame] = []
     comps: DataFrame | None = None
     level, left = 0, edges
     while True:
@@ -45,18 +45,18 @@ def _levelled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         tagged = cut(left.join(heads, F.col("d") == F.col("_s"), "left").select("s", "d", F.col("_s").isNull().alias("sink")))
         if tagged.empty:
             break
-        removed = cut(tagged.df.where("sink").select("s", "d", F.lit(level).alias("level")))
-        if removed.empty:
+        removed = tagged.df.where("sink")
+        if removed.isEmpty():
             found = cycle_members(tagged.df.select(F.col("s").alias("src"), F.col("d").alias("dst")))
             comps = cut(found.select(F.col("member").alias("node"), F.col("group").alias("comp"))).df
             left = cut(_contracted(tagged.df, comps, ["s", "d"]).where("s <> d").select("s", "d").distinct()).df
             continue
-        done.add(removed)
+        done.append(removed.select("s", "d", F.lit(level).alias("level")))
         left = tagged.df.where("NOT sink").select("s", "d")
         level += 1
-    if not done.rows:
+    if not done:
         return edges.select("s", "d", F.lit(0).alias("level")).where(F.lit(False)), comps
-    out = done.frame()
+    out = union_all(done)
     if comps is not None:
         out = _contracted(out, comps, ["s"]).distinct()
     return out, comps
@@ -98,7 +98,6 @@ def closure_counts(links: DataFrame) -> DataFrame:
     """(id, downstream, upstream) of every end of a link that joins two nodes."""
     ids, edges = _numbered(links)
     levelled, comps = _levelled(edges)
-    levelled = cut(levelled).df
     tops = levelled.groupBy(F.col("s").alias("_n")).agg((F.max("level") + 1).alias("up_level"))
     ends = levelled.select(F.col("d").alias("_m")).distinct()
     # s is needed when something reaches it, d when it reaches something (a level above 0)
