@@ -176,3 +176,32 @@ def suggest_names(queries: DataFrame, nodes: DataFrame, k: int = SUGGESTIONS) ->
     best = union_all(found).groupBy("query", "nb").agg(F.min("d").alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "path")
     return names.join(best, "nb").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "path", "distance", "rank")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+
+def distinguishing_dirs(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """``nodes`` with ``dir``: the part of the path that tells siblings of one basename apart; NULL without such a sibling.
+
+    Siblings have equal ``by``, nulls included.  What all paths of a group share at the front is what the least and the greatest of
+    them share, and likewise at the back for the reversed paths, so a group is one row of partial aggregates however
+    many paths it has.  The last segment and one segment at least are never cut away from the shortest path.
+    """
+    segs = F.split("path", "/")
+    rows = nodes.withColumn("_segs", segs).withColumn("_base", F.element_at(segs, -1))
+    back = F.reverse("_segs")
+    groups = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_base").alias("_by")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.size("_segs")).alias("_least"), F.min("_segs").alias("_lo"), F.max("_segs").alias("_hi"), F.min(back).alias("_rlo"), F.max(back).alias("_rhi")
+    )
+    front = F.least(_common(F.col("_lo"), F.col("_hi")), F.col("_least") - 1)
+    groups = groups.where(F.col("_n") > 1).withColumn("_front", front)
+    groups = groups.withColumn("_back", F.least(_common(F.col("_rlo"), F.col("_rhi")), F.col("_least") - 1 - F.col("_front")))
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_base") == F.col("_by")]
+    told = F.array_join(F.slice("_segs", F.col("_front") + 1, F.size("_segs") - F.col("_front") - F.col("_back")), "/")
+    found = rows.join(groups.select(*[f"_by_{c}" for c in by], "_by", "_front", "_back"), reduce(lambda a, b: a & b, on), "left")
+    return found.select(*nodes.columns, F.when(F.col("_front").isNotNull(), told).alias("dir"))

@@ -7,6 +7,7 @@ edge violation are the long table ``sites`` so that a hot edge never becomes one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,7 +22,8 @@ from refloom.operators.extract import component_names, site_selector
 from refloom.operators.reports import dangling_report, unused_report, utilization
 from refloom.operators.scc import cycle_members
 from refloom.operators.traverse import forbidden_paths, path_names
-from refloom.plans.runtime import union_all
+from refloom.operators.validate import LEAK_NAME
+from refloom.plans.runtime import cut, union_all
 
 SCHEMA = "rule string, level string, message string, asset string, src string, dst string, kind string"
 
@@ -169,10 +171,11 @@ def _deep_override(g: Graph, rule: dict, ctx: Context) -> DataFrame:
     files = rule.get("files")
     if files != "all":
         ov = ov.where(F.col("type").isin(*(_list(files) or ["prefab"])))
-    ignore = _list(rule.get("ignoreProps")) or list(BAKED_PROPS)
+    # an empty list is a choice: nothing is ignored, or nothing allowed
+    ignore = list(BAKED_PROPS) if rule.get("ignoreProps") is None else _list(rule["ignoreProps"])
     ov = ov.where(~F.col("prop").isin(*ignore))
     allowed = F.col("on_root")
-    if rule.get("allowProps"):
+    if rule.get("allowProps") is not None:
         allowed = allowed & F.col("prop").isin(*_list(rule["allowProps"]))
     ov = ov.where(~allowed)
     text = F.concat(F.lit('deep instance override: "'), "prop", F.lit('" on a node (localID '), F.array_join("local_id", "/"),
@@ -184,8 +187,9 @@ def _leak(g: Graph, rule: dict, ctx: Context) -> DataFrame:
     leaks = ctx.get("leaks")
     if leaks is None:
         return _nothing(g)
-    per = leaks.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
-    text = F.concat(F.lit("editor preview Canvas leaked into the file: "), "first", F.when(F.col("n") > 1, F.concat(F.lit(" and "), _s(F.col("n") - 1), F.lit(" more"))).otherwise(F.lit("")))
+    # one row a file; the text lists the leaked nodes of that file only
+    per = leaks.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    text = F.concat(F.lit("editor preview Canvas leaked into the file: "), "names", F.lit(f' — a "{LEAK_NAME}" node must never be saved (delete it, then re-save)'))
     return _out(per, text, F.col("file"))
 
 
@@ -214,8 +218,20 @@ CHECKERS: dict[str, Checker] = {
 }
 
 
+def _reason(e: Exception) -> str:
+    """What went wrong: of an error in a task the last line of its Python traceback, of one in the JVM the first line."""
+    text = str(e)
+    lines = [line.strip() for line in text.splitlines() if line.strip()]
+    told = [line for line in lines if re.match(r"\w+(Error|Exception): ", line)]
+    return (told[-1] if "Traceback (most recent call last)" in text and told else lines[0]) if lines else type(e).__name__
+
+
 def evaluate_rules(graph: Graph, rules=None, ctx: Context | None = None, extra: dict[str, Checker] | None = None) -> RuleResult:
-    """Violations of every configured rule; a rule that cannot run is a ``config`` violation."""
+    """Violations of every configured rule; a rule that cannot run is a ``config`` violation.
+
+    Each rule's violations are written by a job of its own, so whatever fails in its checker, on the driver or in a task, is told
+    of that rule alone and the others stand.
+    """
     spark: SparkSession = graph.nodes.sparkSession
     ctx, extra = ctx or Context(), extra or {}
     parts, config, checked = [], [], []
@@ -230,13 +246,12 @@ def evaluate_rules(graph: Graph, rules=None, ctx: Context | None = None, extra:
             continue
         level = "warn" if rule.get("level") == "warn" else "error"
         try:
-            found = fn(graph, rule, ctx)
-            found.schema  # analysis errors surface here, while they can still be tied to the rule
+            found = fn(graph, rule, ctx).select(F.lit(name).alias("rule"), F.lit(level).alias("level"), "message", "asset", "src", "dst", "kind")
+            parts.append(cut(found).df)
         except Exception as e:  # noqa: BLE001 - any failing checker becomes a config violation
-            config.append((name, f'rule "{name}" failed: {e}'))
+            config.append((name, f'rule "{name}" failed: {_reason(e)}'))
             continue
         checked.append(name)
-        parts.append(found.select(F.lit(name).alias("rule"), F.lit(level).alias("level"), "message", "asset", "src", "dst", "kind"))
     bad = spark.createDataFrame([(n, "config", m, None, None, None, None) for n, m in config], SCHEMA)
     violations = union_all([*parts, bad])
     sites = None

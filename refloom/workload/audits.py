@@ -19,6 +19,7 @@ from refloom.operators.traverse import degrees, filter_kinds
 from refloom.operators.traverse import mutual_pairs as _mutual
 from refloom.plans.ordering import global_positions, positions_within
 from refloom.sources.tables import key
+from refloom.workload.duplicates import GROUPS
 from refloom.workload.base import query, rows_as
 from refloom.workload.inputs import STAR, TRADE, WEB, star_graph, table, trade_graph, web_nodes, web_refs
 
@@ -348,18 +349,33 @@ def forbid_transitive(spark, sf):
     return evaluate_rules(g, [rule]).violations.select("rule", "level", "message", "asset")
 
 
-@query(f"""WITH {TRADE}
-SELECT 'no-cross-bundle' AS rule, 'warn' AS level, count(*) AS n FROM cedges WHERE src = 'N3' HAVING count(*) > 0
-UNION ALL SELECT 'no-bundle-cycle', 'error', 1 FROM (SELECT count(*) AS c FROM cedges) WHERE c > 0
-UNION ALL SELECT 'no-such-rule', 'config', 1 UNION ALL SELECT '(invalid)', 'config', 1 UNION ALL SELECT 'forbid-dep', 'config', 1""")
+@query(f"""WITH RECURSIVE {TRADE},
+ways AS (SELECT src, dst FROM cedges UNION SELECT w.src, e.dst FROM ways w JOIN cedges e ON e.src = w.dst),
+loops AS (SELECT a.src, min(a.dst) AS least FROM ways a JOIN ways b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+SELECT 'no-cross-bundle' AS rule, 'warn' AS level, e.src || ' → ' || e.dst || ' (' || e.refs || ' cross-bundle ref(s))' || CASE WHEN b.src IS NULL THEN '' ELSE ' ⇄' END AS message
+FROM cedges e LEFT JOIN cedges b ON b.src = e.dst AND b.dst = e.src WHERE e.src = 'N3'
+UNION ALL SELECT 'no-bundle-cycle', 'error', 'bundle cycle ' || string_agg(src, ' ⇄ ' ORDER BY encode(src)) FROM loops GROUP BY least HAVING count(*) > 1
+UNION ALL SELECT 'no-such-rule', 'config', 'unknown rule "no-such-rule"' UNION ALL SELECT '(invalid)', 'config', 'each rule needs a string "name"'
+UNION ALL SELECT 'forbid-dep', 'config', 'rule "forbid-dep" failed: forbid-dep needs a "from" and/or "to" matcher'
+UNION ALL SELECT 'breaks', 'config', 'rule "breaks" failed: ValueError: a checker that breaks in a task'""")
 def violations(spark, sf):
-    """A mixed rule set over the trade graph, counted by rule and level."""
+    """A mixed rule set over the trade graph, with unknown, invalid and failing rules beside sound ones; all messages."""
+
+    def breaks(g, rule, ctx):
+        def fail(batches):
+            raise ValueError("a checker that breaks in a task")
+            yield from batches
+
+        none = F.lit(None).cast("string")
+        found = g.nodes.select(F.col("id").alias("message")).mapInArrow(fail, "message string")
+        return found.select("message", *[none.alias(c) for c in ("asset", "src", "dst", "kind")])
+
     rules = [
-        {"name": "no-cross-bundle", "level": "warn", "from": "N3"}, {"name": "no-bundle-cycle"},
+        {"name": "breaks"}, {"name": "no-cross-bundle", "level": "warn", "from": "N3"}, {"name": "no-bundle-cycle"},
         {"name": "no-such-rule"}, {"level": "warn"}, {"name": "forbid-dep"},
     ]
-    r = evaluate_rules(trade_graph(spark, sf), rules)
-    return r.violations.groupBy("rule", "level").agg(rows_as("n"))
+    r = evaluate_rules(trade_graph(spark, sf), rules, extra={"breaks": breaks})
+    return r.violations.select("rule", "level", F.when(F.col("rule") == "no-such-rule", F.substring_index("message", " (", 1)).otherwise(F.col("message")).alias("message"))
 
 
 @query(f"""WITH {TRADE} SELECT 'no-orphans' AS rule, 'error' AS level, 'unused customer · ' || path AS message, path AS asset
@@ -380,15 +396,39 @@ def default_rules(spark, sf):
     return evaluate_rules(g).violations.select("rule", "level", "message", "asset")
 
 
-@query("""WITH g AS (SELECT sha256(text) AS h, count(*) AS n, min(length(text))::BIGINT AS size, min(doc_id) AS keep FROM documents WHERE length(text) > 0 GROUP BY 1 HAVING count(*) > 1)
-SELECT count(*) AS n FROM g""")
+@query(f"""WITH {GROUPS},
+c AS (SELECT count(*) - 1 AS more, any_value(size) AS size, any_value(path) FILTER (WHERE r = 1) AS path FROM m GROUP BY h, size)
+SELECT 'no-duplicate-files' AS rule, 'error' AS level, path AS asset, 'duplicate files: ' || more || ' redundant copy(ies) of ' || path || ' (' ||
+  CASE WHEN size * more >= 1048576 THEN printf('%.1f MB', size * more / 1048576.0) ELSE printf('%.1f KB', size * more / 1024.0) END || ')' AS message FROM c""")
 def duplicate_rule(spark, sf):
     """Duplicate documents as rule violations, fed from the lazy duplicate report."""
     from refloom.workload.duplicates import file_groups
 
     g = Graph.from_links(web_nodes(spark, sf), web_refs(spark, sf).select("src", F.col("ref").alias("dst"), F.lit("href").alias("kind")))
     ctx = Context(duplicates=lambda: {"files": file_groups(spark, sf)})
-    return evaluate_rules(g, [{"name": "no-duplicate-files", "axis": "files"}], ctx).violations.agg(rows_as("n"))
+    return evaluate_rules(g, [{"name": "no-duplicate-files", "axis": "files"}], ctx).violations.select("rule", "level", "asset", "message")
+
+
+# ---- siblings of one name ------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_size AS bin, 'art/' || p_brand || '/' || p_type || '/' || p_name || CASE WHEN p_partkey % 4 = 0 THEN '/alt' ELSE '' END || '/icon' || p_partkey % 3 || '.png' AS path FROM part),
+s AS (SELECT *, string_split(path, '/') AS segs, split_part(path, '/', -1) AS base FROM f),
+g AS (SELECT bin, base, count(*) AS n, min(len(segs)) AS least FROM s GROUP BY ALL),
+front AS (SELECT bin, base, i FROM (SELECT bin, base, unnest(range(1, len(segs) + 1)) AS i, unnest(segs) AS seg FROM s) JOIN g USING (bin, base) WHERE i < least GROUP BY bin, base, i, n HAVING count(DISTINCT seg) = 1 AND count(*) = n),
+back AS (SELECT bin, base, i FROM (SELECT bin, base, unnest(range(1, len(segs) + 1)) AS i, unnest(list_reverse(segs)) AS seg FROM s) JOIN g USING (bin, base) WHERE i < least GROUP BY bin, base, i, n HAVING count(DISTINCT seg) = 1 AND count(*) = n),
+k AS (SELECT g.*,
+  (SELECT count(*) FROM front a WHERE a.bin = g.bin AND a.base = g.base AND a.i <= (SELECT count(*) FROM front b WHERE b.bin = g.bin AND b.base = g.base AND b.i <= a.i)) AS pre,
+  (SELECT count(*) FROM back a WHERE a.bin = g.bin AND a.base = g.base AND a.i <= (SELECT count(*) FROM back b WHERE b.bin = g.bin AND b.base = g.base AND b.i <= a.i)) AS suf FROM g)
+SELECT id, CASE WHEN n > 1 THEN array_to_string(segs[pre + 1 : len(segs) - least(suf, least - 1 - pre)], '/') END AS dir FROM s JOIN k USING (bin, base)""")
+def distinguishing_dirs(spark, sf):
+    """What tells the icons of one size apart that have the same file name."""
+    from refloom.operators.lookup import distinguishing_dirs as told
+
+    alt = F.when(F.col("p_partkey") % 4 == 0, F.lit("/alt")).otherwise(F.lit(""))
+    path = F.concat(F.lit("art/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name", alt, F.lit("/icon"), (F.col("p_partkey") % 3).cast("string"), F.lit(".png"))
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("bin"), path.alias("path"))
+    return told(files, ["bin"]).select("id", "dir")
 
 
 # ---- filters, orders and list functions ----------------------------------------------------------

@@ -239,6 +239,65 @@ def test_rules_gate_and_messages(spark, make):
     assert evaluate_rules(make(["a"], [])).gate() == 0
 
 
+def test_rule_that_breaks_in_a_task_leaves_the_others(spark, make):
+    g = make({"A": ("t", 1, "x", "src/A"), "B": ("t", 1, "y", "src/B")}, [("A", "B")])
+    none = [F.lit(None).cast("string").alias(c) for c in ("src", "dst", "kind")]
+
+    def late(graph, rule, ctx):
+        return graph.nodes.select(F.raise_error(F.concat(F.lit("bad row "), "id")).cast("string").alias("message"), F.col("path").alias("asset"), *none)
+
+    def worker(graph, rule, ctx):
+        def fail(batches):
+            raise RuntimeError("lost in a task")
+            yield from batches
+
+        return graph.nodes.select("id").mapInArrow(fail, "id string").select(F.col("id").alias("message"), F.col("id").alias("asset"), *none)
+
+    r = evaluate_rules(g, [{"name": "late"}, {"name": "no-cross-bundle"}, {"name": "worker"}], Context(), {"late": late, "worker": worker})
+    got = {(v.rule, v.level): v.message for v in r.violations.collect()}
+    assert got["no-cross-bundle", "error"] == "x → y (1 cross-bundle ref(s))" and r.gate() == 2 and r.checked == ["no-cross-bundle"]
+    assert "bad row" in got["late", "config"] and got["worker", "config"] == 'rule "worker" failed: RuntimeError: lost in a task'
+
+
+def test_override_and_leak_rules(spark, make):
+    g = make(["a"], [])
+    rows = [("f", "prefab", "_name", True, ["x"], "Root/I", "i"), ("f", "prefab", "_lpos", False, ["x", "y"], None, "i"), ("f", "prefab", "lightmapSettings", False, ["x"], "R", "i"), ("s", "scene", "_lpos", False, ["x"], "R", "i")]
+    ov = spark.createDataFrame(rows, "file string, type string, prop string, on_root boolean, local_id array<string>, instance_path string, instance string")
+    props = lambda **kw: sorted(v.message.split('"')[1] for v in evaluate_rules(g, [{"name": "no-deep-instance-override", **kw}], Context(overrides=ov)).violations.collect())
+    assert props() == ["_lpos"] and props(ignoreProps=[]) == ["_lpos", "lightmapSettings"] and props(allowProps=[]) == ["_lpos", "_name"]
+    assert props(ignoreProps="_lpos") == ["lightmapSettings"] and props(files="all") == ["_lpos", "_lpos"] and props(allowProps=["_name"]) == ["_lpos"]
+    leaks = spark.createDataFrame([("f", "b"), ("f", "a"), ("h", "c")], "file string, name string")
+    got = {v.asset: v.message for v in evaluate_rules(g, [{"name": "no-editor-preview-leak"}], Context(leaks=leaks)).violations.collect()}
+    assert got["f"].startswith("editor preview Canvas leaked into the file: a, b — ") and set(got) == {"f", "h"}
+
+
+def test_duplication_rule(spark, make):
+    g = make({"a": ("t", 2048, "x"), "b": ("t", 1, "x")}, [])
+    assert evaluate_rules(g, [{"name": "max-duplication"}]).violations.count() == 0
+
+
+def test_distinguishing_dirs(spark):
+    rows = [(1, "p", "a/b/x/icon.png"), (2, "p", "a/c/x/icon.png"), (3, "p", "a/c/x/other.png"), (4, None, "m/icon.png"), (5, None, "n/icon.png"), (6, "q", "icon.png"), (7, "q", "d/icon.png"), (8, "r", "s/t/i"), (9, "r", "s/t/i"), (10, "z", "a/a/i"), (11, "z", "a/a/a/i")]
+    got = {r.id: r.dir for r in lk.distinguishing_dirs(spark.createDataFrame(rows, "id int, par string, path string"), ["par"]).collect()}
+
+    def brute(paths):
+        segs = [p.split("/") for p in paths]
+        least, pre, suf = min(map(len, segs)), 0, 0
+        while pre < least - 1 and len({tuple(s[: pre + 1]) for s in segs}) == 1:
+            pre += 1
+        while suf < least - 1 - pre and len({s[len(s) - 1 - suf] for s in segs}) == 1:
+            suf += 1
+        return ["/".join(s[pre : len(s) - suf]) for s in segs]
+
+    want, groups = {}, {}
+    for i, par, path in rows:
+        groups.setdefault((par, path.rsplit("/", 1)[-1]), []).append((i, path))
+    for members in groups.values():
+        told = brute([p for _, p in members]) if len(members) > 1 else [None]
+        want |= {i: d for (i, _), d in zip(members, told)}
+    assert got == want
+
+
 def test_min_util_rule(spark, make):
     subs = spark.createDataFrame([("o", "1", 1, 1), ("o", "2", 1, 1)], "owner_id string, sub_id string, width int, height int")
     use = spark.createDataFrame([("o", "1")], "owner_id string, sub_id string")
