@@ -151,9 +151,12 @@ def dedupe_edges(raw_edges: DataFrame) -> DataFrame:
     return raw_edges.groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("weight"), label.alias("label"))
 
 
-def document_sources(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Raw references of documents with script tokens already decoded, ready for ``resolve_refs``."""
-    refs = cut(document_refs(entries)).df
+def document_sources(entries: DataFrame, nodes: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Raw references of documents with script tokens already decoded, ready for ``resolve_refs``.
+
+    ``refs`` are the documents' references where they were extracted before.
+    """
+    refs = cut(document_refs(entries)).df if refs is None else refs
     plain = refs.where(F.col("what") == "ref").select(*RAW)
     tokens = resolve_tokens(refs.where(F.col("what") != "ref").select(*RAW), nodes)
     return plain.unionByName(tokens.select(*RAW))

@@ -91,6 +91,12 @@ def missing_referenced(missing: DataFrame, refs: DataFrame) -> DataFrame:
     return missing.join(refs.select(F.substring_index("ref", "@", 1).alias("id")), "id", "left_semi")
 
 
+def references_to_missing(graph: Graph) -> DataFrame | None:
+    """(src, ref) of all references that may name a record without a source: unresolved ones and what extractors ran into."""
+    found = [df.select("src", "ref") for df in (graph.dangling, graph.extras.get("missing_hits")) if df is not None]
+    return union_all(found) if found else None
+
+
 def dropped_report(missing: DataFrame, refs: DataFrame) -> DataFrame:
     """(id, path, refs, referenced) for every record whose source is gone."""
     per = refs.groupBy(F.substring_index("ref", "@", 1).alias("id")).agg(F.count(F.lit(1)).alias("refs"))
@@ -208,8 +214,8 @@ def audit(graph: Graph, root_types=(), limit: int = 20) -> dict[str, DataFrame]:
     }
     if graph.dangling is not None:
         out["dangling"] = dangling_report(graph.dangling, graph.missing)
-        if graph.missing is not None:
-            out["dropped"] = dropped_report(graph.missing, graph.dangling)
+    if graph.missing is not None and references_to_missing(graph) is not None:
+        out["dropped"] = dropped_report(graph.missing, references_to_missing(graph))
     if graph.sub_items is not None and graph.sub_usage is not None:
         owners = graph.sub_items.select("owner_id").distinct().join(
             graph.nodes.select(F.col("id").alias("owner_id"), "path"), "owner_id"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from refloom.model import Graph
 from refloom.operators.rules import CHECKERS
@@ -91,10 +93,15 @@ def merge_extractions(graph: Graph, parts: list[Extraction]) -> Graph:
     links = union_all([graph.adjacency] + [p.edges.select("src", "dst", "kind") for p in parts if p.edges is not None])
     join = lambda base, name: [d for d in [base, *[getattr(p, name) for p in parts]] if d is not None]
     usage, dangling = join(graph.sub_usage, "sub_usage"), join(graph.dangling, "dangling")
+    edges = edges_from_links(links).drop("label")
+    labels = [e.select("src", "dst", "kind", "label") for e in [graph.edges, *[p.edges for p in parts if p.edges is not None]] if "label" in e.columns]
+    # of several labels of one edge the smallest stays
+    named = union_all(labels).where("label IS NOT NULL").groupBy("src", "dst", "kind").agg(F.min("label").alias("label"))
     return graph.with_(
-        nodes=nodes, links=links, edges=edges_from_links(links),
+        nodes=nodes, links=links, edges=edges.join(named, ["src", "dst", "kind"], "left").select("src", "dst", "kind", "weight", "label"),
         sub_usage=union_all(usage) if usage else None,
-        dangling=union_all([d.select("src", "ref") for d in dangling]) if dangling else None,
+        # the sites of unresolved references stay with them
+        dangling=reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dangling) if dangling else None,
     )
 
 

@@ -37,9 +37,19 @@ EXTRA_IMPORTER_TYPES = {
 EXTRA_EXT_TYPES = {".atlas": "spine-atlas"}
 
 
-def scan_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, length, modified[, content]) below ``root``, paths relative to it; listing only unless asked."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _glob(exts) -> str:
+    """A file-name pattern of some extensions in any case."""
+    any_case = lambda ext: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+    return "*{" + ",".join(any_case(e) for e in sorted(exts)) + "}"
+
+
+def scan_files(spark: SparkSession, root: str, content: bool = False, exts=None) -> DataFrame:
+    """(path, length, modified[, content]) below ``root``, paths relative to it; listing only unless asked.
+
+    With ``exts`` the file source itself leaves out all other files, so their bytes are never read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = (reader if exts is None else reader.option("pathGlobFilter", _glob(exts))).load(root)
     prefix = "/" + root.split("://", 1)[-1].strip("/").split("file:", 1)[-1].strip("/") + "/"
     rel = F.substring_index(F.col("path"), prefix, -1)
     cols = [rel.alias("path"), F.col("length"), F.col("modificationTime").alias("modified")]

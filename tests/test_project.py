@@ -101,6 +101,39 @@ def test_closure_dangling_unused_and_audit(spark, project):
     assert (u.used, u.total, u.total_area) == (1, 1, 20.0)
 
 
+def test_content_is_read_of_wanted_files_only(spark, tree):
+    read = {f.rsplit("/", 1)[-1] for f in scan_files(spark, tree, content=True, exts=[".prefab", ".ts"]).inputFiles()}
+    assert read == {"Shop.prefab", "ShopCtrl.ts", "Utils.ts"}
+    assert {f.rsplit(".", 1)[-1] for f in scan_files(spark, tree, content=True, exts=[".meta"]).inputFiles()} == {"meta"}
+
+
+def test_extractors_keep_labels_sites_and_hits_on_missing_sources(spark, tmp_path):
+    meta = lambda **k: json.dumps(k)
+    files = {
+        "gone.png.meta": meta(importer="image", uuid=U("1")), "page.PNG.meta": meta(importer="image", uuid=U("2")), "idle.png.meta": meta(importer="image", uuid=U("3")),
+        "ui.plist": "PLIST", "ui.plist.meta": meta(importer="sprite-atlas", uuid=U("4"), subMetas={"f": {"importer": "sprite-frame", "uuid": U("4") + "@f", "name": "x", "userData": {"imageUuidOrDatabaseUri": U("1") + "@6c48a"}}}),
+        "hero.ATLAS": "page.PNG\nsize: 1,1\n", "hero.ATLAS.meta": meta(importer="*", uuid=U("5")),
+        "a.Prefab": json.dumps([{"__type__": "cc.Node", "p": {"__uuid__": U("4")}}]), "a.Prefab.meta": meta(importer="prefab", uuid=U("6")),
+        "big.png": "x" * 1000, "big.png.meta": meta(importer="image", uuid=U("7")),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    reg = Registry()
+
+    @reg.extractor("calls")
+    def calls(project):
+        edges = spark.createDataFrame([(U("6"), U("7"), "call", "load(b)"), (U("6"), U("7"), "call", "load(a)"), (U("6"), U("4"), "plain", None)], "src string, dst string, kind string, label string")
+        return Extraction(edges=edges, dangling=spark.createDataFrame([(U("6"), "nowhere", "Root/N")], "src string, ref string, node_path string"))
+
+    g = load_project(spark, str(tmp_path), reg).graph
+    assert {(r.src, r.ref) for r in g.extras["missing_hits"].collect()} == {(U("4"), U("1")), (U("5"), U("2"))}
+    dropped = rp.audit(g)["dropped"]
+    assert {r.path: (r.refs, r.referenced) for r in dropped.collect()} == {"gone.png": (1, True), "page.PNG": (1, True), "idle.png": (0, False)}
+    edges = {(r.dst, r.kind): (r.weight, r.label) for r in g.edges.collect()}
+    assert edges[U("7"), "call"] == (2, "load(a)") and edges[U("4"), "plain"] == (1, None) and (U("4"), "atlas") in edges
+    assert [(r.node_path) for r in g.dangling.where("ref = 'nowhere'").collect()] == ["Root/N"]
+
+
 def test_extractors_types_reports_and_failures(spark, tree):
     reg = Registry()
     reg.register_types(importer={"image": "picture"}, ext={".zip": "pack"}, root_types=["scene"])
