@@ -10,7 +10,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -375,16 +375,25 @@ def collect_unreferenced(entries: DataFrame, candidates: DataFrame) -> tuple[Dat
 
 
 def array_edit(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries', notes) for array instructions reorder / remove / insert.
+    """(entries', notes) for array instructions reorder / remove / insert / insert_clone / insert_type.
 
     The structural lists are refused.  A removed reference whose target nothing else holds takes the
-    target and what it owns with it.
+    target and what it owns with it.  ``insert_clone`` (value {"at"}) and ``insert_type`` (value {"at", "type"}) append an owned
+    object and insert the reference to it, after the other instructions of the call (see ``insert_objects``).
     """
     last = F.substring_index("prop", ".", -1)
     bad = ops.where(last.isin("_children", "_components")).select(
         "doc_id", "idx", F.col("seq").cast("int").alias("seq"), F.lit("error").alias("level"), F.lit("structural list: use the node and component edits").alias("note")
     )
     fine = ops.where(~last.isin("_children", "_components"))
+    objects = cut(fine.where(F.col("op").isin("insert_clone", "insert_type")))
+    fine = fine.where(~F.col("op").isin("insert_clone", "insert_type"))
+    if not objects.empty:
+        v = F.parse_json("value")
+        made = objects.df.select("doc_id", "idx", "seq", "prop", F.try_variant_get(v, "$.at", "int").alias("at"), F.when(F.col("op") == "insert_type", F.try_variant_get(v, "$.type", "string")).alias("type"))
+        out, notes = array_edit(entries, fine)
+        grown, more = insert_objects(out, made)
+        return grown, union_all([notes, more, bad])
     before = id_refs(entries.join(fine.where(F.col("op") == "remove").select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_semi"))
     was = cut(before.select("doc_id", F.col("target").alias("idx")).distinct()).df
     out, notes = apply_updates(entries, fine)
@@ -393,6 +402,51 @@ def array_edit(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame
     return swept, notes.unionByName(bad)
 
 
+def insert_objects(entries: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries', notes): append an owned object and insert the reference to it (doc_id, idx, seq, prop, at, type).
+
+    With ``type`` the object is a bare one of that type; without, it is a copy of the entry that the array's first reference
+    leads to, with its own ids reset and its other references as they are.  ``at`` counts in the array as it is when the
+    instruction's turn comes (null: the end).  An instruction in error appends nothing.
+    """
+    ops = cut(adds.select("doc_id", "idx", F.col("seq").cast("int").alias("seq"), "prop", F.col("at").cast("int").alias("at"), "type")).df
+    now = entries.select("doc_id", "idx", F.to_json("entry").alias("_j"))
+    held = ops.join(now, ["doc_id", "idx"], "left").withColumn("_v", read_property(F.col("_j"), F.col("prop")))
+    items = F.try_variant_get(F.parse_json("_v"), "$", "array<variant>")
+    refs = F.filter(F.transform(items, lambda e: F.try_variant_get(e, "$.__id__", "int")), lambda e: e.isNotNull())
+    # instructions on one array: bounded by what one entry is told to change
+    turn = F.row_number().over(Window.partitionBy("doc_id", "idx", "prop").orderBy("seq")) - 1
+    held = held.withColumn("_n", F.size(items)).withColumn("_first", F.get(refs, F.lit(0))).withColumn("_room", F.col("_n") + turn)
+    live = entries.select("doc_id", F.col("idx").alias("_first"), F.to_json("entry").alias("_template"))
+    held = held.drop("_j", "_v").join(live, ["doc_id", "_first"], "left")
+    clone = F.col("type").isNull()
+    err = (
+        F.when(F.col("_n").isNull() | (F.col("_n") < 0), F.concat(F.lit('"'), "prop", F.lit('" is not an array')))
+        .when((F.col("at") < 0) | (F.col("at") > F.col("_room")), F.concat(F.lit("index "), F.col("at").cast("string"), F.lit(" out of range")))
+        .when(clone & F.col("_first").isNull(), F.lit("no element of the array to clone"))
+        .when(clone & F.col("_template").isNull(), F.concat(F.lit("template entry "), F.col("_first").cast("string"), F.lit(" is missing")))
+    )
+    judged = cut(held.withColumn("error", err)).df
+    ok = judged.where(F.col("error").isNull())
+    body = F.when(clone, F.col("_template")).otherwise(F.to_json(F.struct(F.col("type").alias("__type__"))))
+    new = positions_within(ok.withColumn("_body", body), ["doc_id"], ["seq", "idx", "prop"], "_rank").join(_doc_sizes(entries), "doc_id")
+    new = cut(new.select("doc_id", F.col("idx").alias("_holder"), "seq", "prop", "at", (F.col("_len") + F.col("_rank")).cast("int").alias("idx"), clone.alias("_clone"), F.parse_json("_body").alias("entry"))).df
+    has = lambda path, kind="variant": F.col("_clone") & F.try_variant_get("entry", path, kind).isNotNull()
+    put = lambda prop, value, when: _steps_df(new.where(when), "set", prop, value, 0, True)
+    steps = union_all([
+        put("_id", F.concat(F.lit('"'), _pad22("a", F.col("idx")), F.lit('"')), has("$._id")),
+        put("fileId", F.concat(F.lit('"'), _pad22("f", F.col("idx")), F.lit('"')), has("$.fileId")),
+        put("__prefab", F.lit("null"), has("$.__prefab.__id__", "int")),
+    ])
+    made, _ = apply_updates(with_type(new.select("doc_id", "idx", "entry")), steps)
+    at = F.coalesce(F.col("at").cast("string"), F.lit("null"))
+    link = new.select("doc_id", F.col("_holder").alias("idx"), "seq", "prop", F.concat(F.lit('{"at":'), at, F.lit(',"value":'), ref_json("idx"), F.lit("}")).alias("_v"))
+    old, notes = apply_updates(entries, _steps_df(link, "insert", F.col("prop"), F.col("_v"), F.col("seq")))
+    cols = ["doc_id", "idx", "type", "entry"]
+    bad = judged.where(F.col("error").isNotNull()).select("doc_id", "idx", "seq", F.lit("error").alias("level"), F.col("error").alias("note"))
+    return old.select(*cols).unionByName(made.select(*cols)), notes.unionByName(bad)
+
+
 # ---- moves and additions --------------------------------------------------------------------------
 
 
@@ -683,7 +737,7 @@ def _round(entries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             refused = part.where(_structural(part)).select("doc_id", "seq", F.lit("structural list: use the node and component edits").alias("error"))
             own, notes = apply_updates(own, part.where(~_structural(part)).select("doc_id", "idx", "seq", F.col("kind").alias("op"), "prop", "value"))
             errors += [said(refused), noted(notes)]
-        elif kind == "remove":
+        elif kind in ("remove", "insert_clone", "insert_type"):
             own, notes = array_edit(own, part.select("doc_id", "idx", "seq", F.lit(kind).alias("op"), "prop", "value"))
             errors.append(noted(notes))
         elif kind == "set_ref":
@@ -717,8 +771,8 @@ def _round(entries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def apply_batch(entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries', errors): ordered instructions, all or nothing per document.
 
-    ``ops`` is (doc_id, seq, kind, idx, prop, value, target, pos) with kind one of set, reorder, remove, insert, set_ref,
-    set_parent, delete, add_component (value: type), add_node (idx: parent, value: name), override (idx: instance root) and
+    ``ops`` is (doc_id, seq, kind, idx, prop, value, target, pos) with kind one of set, reorder, remove, insert, insert_clone,
+    insert_type, set_ref, set_parent, delete, add_component (value: type), add_node (idx: parent, value: name), override (idx: instance root) and
     cross_ref (idx: source, target: instance root, value: file id, pos: index here or null).  There are as many rounds as the
     longest batch of one document has after fusing; a round reads only the documents that have a step in it.  A document leaves
     with its last step, or with its first error, and then keeps its original entries.

@@ -555,6 +555,21 @@ def apply_batch(spark, sf):
     return named.join(comps, "doc_id")
 
 
+CLONED = {
+    3: SHOWN[3].replace("[null,", '[{"__id__":7},null,').replace('[{"__id__":5}]', '[{"__id__":5},{"__id__":6}]'), 6: SHOWN[5], 7: """'{"__type__":"my.Clip"}'""",
+}
+
+
+@query(f"""WITH {DOCS} SELECT doc_id, idx, value FROM ({_shown(CLONED)}) UNION ALL SELECT doc_id, 3, 'no element of the array to clone' FROM pd""")
+def array_objects(spark, sf):
+    """An event cloned behind its like, a new clip put first, and a clone without an example, in every document."""
+    p = table(spark, sf, "part").select(key("P", "p_partkey").alias("doc_id"))
+    row = lambda seq, op, prop, value: p.select("doc_id", F.lit(3).alias("idx"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(prop).alias("prop"), F.lit(value).alias("value"))
+    ops = row(0, "insert_clone", "_events", "{}").unionByName(row(1, "insert_type", "_clips", '{"at":0,"type":"my.Clip"}')).unionByName(row(2, "insert_clone", "_clips", "{}"))
+    out, notes = ed.array_edit(dc.doc_entries(part_docs(spark, sf)), ops)
+    return _entries_as_text(out).unionByName(notes.where("level = 'error'").select("doc_id", "idx", F.col("note").alias("value")))
+
+
 BATCHED = {1: SHOWN[1].replace("|| p_brand ||", "|| 'B' ||")}
 LABELLED = BATCHED | {
     1: BATCHED[1].replace('"_components":[]', '"_components":[{"__id__":6}]'), 2: SHOWN[2].replace("p_name", "upper(p_name)"),

@@ -129,6 +129,23 @@ def test_refs_batches_versions_and_diff(spark, entries):
     assert text["d"] == doc()
 
 
+def test_objects_inserted_by_clone_and_by_type(spark, entries):
+    src = [
+        {"__type__": "cc.Holder", "deep": {"list": [None, {"__id__": 2}, {"__id__": 1}]}, "plain": [1], "none": 5, "lost": [{"__id__": 9}]},
+        {"__type__": "cc.A", "_id": "x"}, {"__type__": "cc.B", "_id": "old", "fileId": "f", "__prefab": {"__id__": 1}, "inner": {"__id__": 1}, "own": {"n": [{"__id__": 1}]}},
+    ]
+    ops = [("d", 0, 1, "insert_clone", "deep.list", '{"at":0}'), ("d", 0, 2, "insert_type", "deep.list", '{"at":4,"type":"my.C"}'), ("d", 0, 3, "insert_type", "plain", '{"type":"my.D"}')]
+    bad = [("d", 0, 4, "insert_clone", "plain", "{}"), ("d", 0, 5, "insert_clone", "none", "{}"), ("d", 0, 6, "insert_type", "plain", '{"at":7,"type":"t"}'), ("d", 0, 7, "insert_clone", "lost", "{}"), ("d", 0, 8, "insert_clone", "x._children", "{}")]
+    cols = "doc_id string, idx int, seq int, op string, prop string, value string"
+    out, notes = ed.array_edit(entries(d=src), spark.createDataFrame(ops + bad, cols))
+    got = read(out)
+    assert got[:1] == [src[0] | {"deep": {"list": [{"__id__": 3}, None, {"__id__": 2}, {"__id__": 1}, {"__id__": 4}]}, "plain": [1, {"__id__": 5}]}] and got[1:3] == src[1:]
+    assert got[3] == src[2] | {"_id": "a3".ljust(22, "x"), "fileId": "f3".ljust(22, "x"), "__prefab": None}
+    assert got[4:] == [{"__type__": "my.C"}, {"__type__": "my.D"}]
+    said = {r.seq: r.note for r in notes.where("level = 'error'").collect()}
+    assert said[4] == "no element of the array to clone" and said[5] == '"none" is not an array' and said[6] == "index 7 out of range" and said[7] == "template entry 9 is missing" and sorted(said) == [4, 5, 6, 7, 8]
+
+
 def test_batches_run_by_rounds_of_each_document(spark, entries):
     e = entries(d=doc(), f=doc(), g=doc(), h=doc())
     cols = "doc_id string, seq int, kind string, idx int, prop string, value string, target int, pos int"
