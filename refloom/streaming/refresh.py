@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from refloom.model import edges_from_links
-from refloom.plans.runtime import cut
+from refloom.plans.runtime import Cut, cut
 
 BUCKETS = 64  # files of a batch at most
 BASE = -1  # epoch of the compacted rows
@@ -33,6 +33,23 @@ def latest_versions(changes: DataFrame, key: str = "doc_id", version: str = "ver
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
+def newest_rows(batch: DataFrame, key: str = "doc_id", version: str = "version") -> tuple[DataFrame, Cut]:
+    """(the batch's rows that ``latest_versions`` picks, their keys): texts stay where they are, only keys are shuffled and kept.
+
+    Rows of one document that are equal throughout are reduced to one, which moves rows, where the batch holds any.
+    """
+    rest = [c for c in batch.columns if c != key]
+    marked = batch.withColumn("_version", F.col(version)).withColumn("_hash", F.xxhash64(*rest))
+    newest = cut(marked.groupBy(F.col(key)).agg(F.max(F.struct("_version", "_hash")).alias("_r"), F.count(F.lit(1)).alias("_n")).select(key, "_r.*", "_n"))
+    kept = newest.hinted().select(F.col(key).alias("_key"), F.col("_version").alias("_v"), F.col("_hash").alias("_h"))
+    found = marked.join(kept, F.col(key).eqNullSafe(F.col("_key")) & F.col("_version").eqNullSafe(F.col("_v")) & (F.col("_hash") == F.col("_h")))
+    found = found.select(*batch.columns)
+    if newest.df.where("_n > 1").isEmpty():
+        return found, newest
+    again = found.groupBy(key).count().where("count > 1").isEmpty()
+    return (found if again else found.dropDuplicates([key])), newest
+
+
 def create_table(spark: SparkSession, table: str) -> None:
     """An empty log of generation 0; does nothing where the table exists."""
     spark.createDataFrame([(0,)], "generation long").write.mode("ignore").parquet(f"{table}/commits")
@@ -110,11 +127,10 @@ def refresh_stream(
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        newest = cut(latest_versions(batch))
+        docs, newest = newest_rows(batch)
         if newest.empty:
             return
-        docs = newest.df
-        changed = docs.select(F.col("doc_id").cast("string").alias("src"), F.col("version").cast("long").alias("version"))
+        changed = newest.df.select(F.col("doc_id").cast("string").alias("src"), F.col("_version").cast("long").alias("version"))
         append_changes(batch.sparkSession, table, epoch, changed, extract(docs), buckets)
         compact_if_grown(batch.sparkSession, table, buckets)
 

@@ -20,6 +20,8 @@ def test_changed_documents_replace_their_references(spark, tmp_path):
 
     assert feed([("a", 1, "x,y,x"), ("b", 1, "x")]) == {("a", "x"): 2, ("a", "y"): 1, ("b", "x"): 1}
     assert feed([("a", 2, "z"), ("a", 3, "w"), ("c", 1, "")]) == {("a", "w"): 1, ("b", "x"): 1}
+    assert feed([("e", 1, "x,x"), ("e", 1, "x,x"), ("e", 0, "y")]) == {("a", "w"): 1, ("b", "x"): 1, ("e", "x"): 2}  # equal rows count once
+    assert feed([("e", 2, "")]) == {("a", "w"): 1, ("b", "x"): 1}
     assert feed([("a", 1, "old"), ("b", 2, "")]) == {("a", "w"): 1}  # stale change ignored, b lost its last reference
     drop_deleted(spark, table, spark.createDataFrame([("b",), ("c",)], "doc_id string"))
     assert current_edges(spark, table).count() == 0
