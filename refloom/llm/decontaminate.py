@@ -202,4 +202,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    return docs.join(_found(docs, benchmark, **options), _same(F.xxhash64("text")), "left_anti")
+    found = _found(docs, benchmark, **options)
+    # each frame's own columns, as the documents may have any names
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_id"]), "left_anti")

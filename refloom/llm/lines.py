@@ -109,11 +109,12 @@ def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     marks = cut(marks).hinted()
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: F.substr(F.col("_marks"), i + 1, F.lit(1)) == "0"), "\n")
-    joined = docs.select("*", F.xxhash64("text").alias("_row")).join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_id")), "left")
-    text = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(kept).alias("text")
-    removed = F.coalesce(F.length(F.regexp_replace("_marks", "0", "")), F.lit(0)).cast("long")
+    parts, mark = F.split(docs["text"], "\n"), marks["_marks"]
+    kept = F.array_join(F.filter(parts, lambda line, i: F.substr(mark, i + 1, F.lit(1)) == "0"), "\n")
+    # each frame's own columns, as the documents may have any names
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_id"]), "left")
+    text = F.when(mark.isNull(), docs["text"]).otherwise(kept).alias("text")
+    removed = F.coalesce(F.length(F.regexp_replace(mark, "0", "")), F.lit(0)).cast("long")
     counted = F.coalesce(F.size(parts), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(counted).cast("long")
-    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    n_lines = F.when(docs["text"].isNull(), F.lit(0)).otherwise(counted).cast("long")
+    return joined.select(*[text if c == "text" else docs[f"`{c}`"] for c in names], n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -86,3 +86,10 @@ def test_one_edit_of_a_repeated_value(spark):
     df = spark.createDataFrame([(1, edited), (2, item.replace("12", "15"))], "doc_id long, text string")
     items = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in dc.mark(df, items).collect()} == {1: True, 2: True}
+
+
+def test_documents_with_clashing_names(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, item, 5, 6, 7), (2, "other", 5, 6, 7)], "doc_id long, text string, _doc int, _id int, _items int")
+    assert [tuple(r) for r in dc.drop_contaminated(df, bench).collect()] == [(2, "other", 5, 6, 7)]

@@ -66,3 +66,10 @@ def test_many_variants_of_one_line(spark):
     rows = [(i, f"line number {chr(33 + i)} of a form") for i in range(90)]
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()
     assert [r.doc_id for r in got] == [0]
+
+
+def test_documents_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "first line\nsecond one", 1, 2, 3, "4"), (2, "second one\nthird thing", 5, 6, 7, "8")], "doc_id long, text string, _row int, _doc int, _id int, _marks string")
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "first line\nsecond one", 1, 2, 3, "4", 2, 0), (2, "third thing", 5, 6, 7, "8", 2, 1)]
