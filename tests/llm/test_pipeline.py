@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from .test_bpe import expected
 from .test_lines import brute as brute_lines
-from .test_simhash import brute_components, brute_print
+from .test_similar import brute as brute_near
 
 from refloom.llm import decontaminate, quality
 from refloom.llm.queries import table
@@ -26,7 +26,7 @@ def test_stages_and_run(spark):
     assert np.mean(good) > 0.6
 
     lined = {i: t for i, t, _, _ in brute_lines(kept)}
-    groups = brute_components({i: brute_print(t) for i, t in lined.items()})
+    groups = brute_near(lined)  # five-word shingles at a similarity of 0.8
     single = {i: t for i, t in lined.items() if groups[i] == i}
     df = spark.createDataFrame(list(single.items()), "doc_id long, text string")
     leaks = {r.doc_id for r in decontaminate.leaks(df, table(spark, SF, "benchmark")).collect()}
