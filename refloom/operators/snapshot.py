@@ -1,4 +1,8 @@
-"""Neighbourhood snapshots: an induced subgraph, its boundary, and a size budget."""
+"""Neighbourhood snapshots: an induced subgraph, its boundary, and a size budget.
+
+Every row carries the centre (``root``) it belongs to, so the snapshots of several centres, overlapping ones included, are
+built together and stay apart.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from refloom.model import Graph
 from refloom.operators.traverse import both_ways, walk
-from refloom.plans.ordering import global_positions
+from refloom.plans.ordering import positions_within
 from refloom.plans.runtime import cached, cut
 
 # Fixed default limits of a snapshot: depth, depth of site detail, size in characters.
@@ -20,8 +24,8 @@ BUDGET_CHARS = 256 * 1024
 
 @dataclass(frozen=True)
 class Snapshot:
-    nodes: DataFrame  # idx, id, path, type, size, container, hops, boundary
-    edges: DataFrame  # src_idx, dst_idx, kind, has_sites, sites_omitted
+    nodes: DataFrame  # root, idx, id, path, type, size, container, hops, boundary
+    edges: DataFrame  # root, src_idx, dst_idx, kind, has_sites, sites_omitted
     sites: DataFrame | None
     depth: int
     dropped_sites: bool
@@ -35,7 +39,7 @@ def _known_links(graph: Graph) -> DataFrame:
 
 
 def snapshot_nodes(graph: Graph, center: DataFrame, depth: int) -> DataFrame:
-    """(id, path, type, size, container, hops, boundary) within ``depth`` hops of the centre."""
+    """(root, id, path, type, size, container, hops, boundary) within ``depth`` hops of each centre."""
     pairs = both_ways(_known_links(graph))
     start = center.select(F.col("id").alias("root"), F.col("id").alias("node"))
     # one hop more than asked tells whether a node has neighbours that were trimmed
@@ -44,33 +48,31 @@ def snapshot_nodes(graph: Graph, center: DataFrame, depth: int) -> DataFrame:
 
 
 def _mark_boundary(graph: Graph, pairs: DataFrame, reach: DataFrame, depth: int) -> DataFrame:
-    inner = reach.where(F.col("hops") <= depth).select(F.col("node").alias("id"), "hops")
-    rim = reach.where(F.col("hops") == depth + 1).select(F.col("node").alias("dst"))
-    # only nodes at exactly ``depth`` can touch the rim
-    edge_of = (
-        pairs.join(rim, "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("_b", F.lit(True))
-    )
+    inner = reach.where(F.col("hops") <= depth).select("root", F.col("node").alias("id"), "hops")
+    rim = reach.where(F.col("hops") == depth + 1).select("root", F.col("node").alias("dst"))
+    # only a centre's nodes at exactly ``depth`` can touch its rim
+    edge_of = pairs.join(rim, "dst").select("root", F.col("src").alias("id")).distinct().withColumn("_b", F.lit(True))
     return (
-        inner.join(edge_of, "id", "left")
+        inner.join(edge_of, ["root", "id"], "left")
         .join(graph.nodes.select("id", "path", "type", "size", "container"), "id")
-        .select("id", "path", "type", "size", "container", "hops", F.coalesce("_b", F.lit(False)).alias("boundary"))
+        .select("root", "id", "path", "type", "size", "container", "hops", F.coalesce("_b", F.lit(False)).alias("boundary"))
     )
 
 
 def _induced(graph: Graph, nodes: DataFrame, site_depth: int) -> DataFrame:
-    n = nodes.select("id", "hops")
+    """(root, src, dst, kind, hops, has_sites, sites_omitted): edges between nodes of one centre, hops of the farther end."""
+    n = nodes.select("root", "id", "hops")
     e = graph.edges.select("src", "dst", "kind")
     inside = e.join(n.withColumnsRenamed({"id": "src", "hops": "hs"}), "src").join(
-        n.withColumnsRenamed({"id": "dst", "hops": "hd"}), "dst"
-    )
+        n.withColumnsRenamed({"id": "dst", "hops": "hd"}), ["root", "dst"]
+    ).withColumn("hops", F.greatest("hs", "hd"))
     if graph.sites is None:
-        return inside.select("src", "dst", "kind", F.lit(False).alias("has_sites"), F.lit(False).alias("sites_omitted"))
+        return inside.select("root", "src", "dst", "kind", "hops", F.lit(False).alias("has_sites"), F.lit(False).alias("sites_omitted"))
     has = graph.sites.select("src", "dst", "kind").distinct().withColumn("_s", F.lit(True))
-    far = F.greatest("hs", "hd") > site_depth
     return inside.join(has, ["src", "dst", "kind"], "left").select(
-        "src", "dst", "kind",
+        "root", "src", "dst", "kind", "hops",
         F.col("_s").isNotNull().alias("has_sites"),
-        (F.col("_s").isNotNull() & far).alias("sites_omitted"),
+        (F.col("_s").isNotNull() & (F.col("hops") > site_depth)).alias("sites_omitted"),
     )
 
 
@@ -80,25 +82,25 @@ def snapshot(graph: Graph, center: DataFrame, depth: int = MAX_DEPTH, site_depth
 
 
 def _assemble(graph: Graph, nodes: DataFrame, depth: int, site_depth: int, dropped: bool, over: bool) -> Snapshot:
-    numbered = cut(global_positions(nodes, ["hops", "path", "id"], "idx")).df
+    numbered = cut(positions_within(nodes, ["root"], ["hops", "path", "id"], "idx")).df
     edges = _induced(graph, nodes, site_depth)
-    ix = numbered.select("id", "idx")
+    ix = numbered.select("root", "id", "idx")
     coded = (
-        edges.join(ix.withColumnsRenamed({"id": "src", "idx": "src_idx"}), "src")
-        .join(ix.withColumnsRenamed({"id": "dst", "idx": "dst_idx"}), "dst")
-        .select("src", "dst", "src_idx", "dst_idx", "kind", "has_sites", "sites_omitted")
+        edges.join(ix.withColumnsRenamed({"id": "src", "idx": "src_idx"}), ["root", "src"])
+        .join(ix.withColumnsRenamed({"id": "dst", "idx": "dst_idx"}), ["root", "dst"])
+        .select("root", "src", "dst", "src_idx", "dst_idx", "kind", "has_sites", "sites_omitted")
     )
     sites = None
     if graph.sites is not None and site_depth >= 0:
-        near = coded.where(F.col("has_sites") & ~F.col("sites_omitted")).select("src", "dst", "kind")
-        sites = graph.sites.join(near, ["src", "dst", "kind"], "left_semi")
+        near = coded.where(F.col("has_sites") & ~F.col("sites_omitted")).select("root", "src", "dst", "kind")
+        sites = graph.sites.join(near, ["src", "dst", "kind"])
     return Snapshot(numbered, coded, sites, depth, dropped, over)
 
 
 def snapshot_fit(
     graph: Graph, center: DataFrame, max_depth: int = MAX_DEPTH, site_depth: int = SITE_DEPTH, cap: int = BUDGET_CHARS
 ) -> Snapshot:
-    """The deepest snapshot whose estimated text fits ``cap``; at worst depth 1 without site detail.
+    """The deepest snapshot whose estimated text, of all centres together, fits ``cap``; at worst depth 1 without site detail.
 
     The neighbourhood is walked once to the largest depth; per-depth sizes are running sums over the
     at most ``max_depth`` levels, so nothing is walked again for a smaller depth.
@@ -107,17 +109,15 @@ def snapshot_fit(
     try:
         start = center.select(F.col("id").alias("root"), F.col("id").alias("node"))
         reach = cut(walk(pairs, start, max_depth + 1)).df
-        inner = reach.where(F.col("hops") <= max_depth).select(F.col("node").alias("id"), "hops")
+        inner = reach.where(F.col("hops") <= max_depth).select("root", F.col("node").alias("id"), "hops")
         sized = inner.join(graph.nodes, "id").groupBy("hops").agg(F.sum(F.length("path") + 12).alias("chars"))
-        induced = _induced(graph, inner, site_depth).join(
-            inner.withColumnsRenamed({"id": "src", "hops": "hs"}), "src"
-        ).join(inner.withColumnsRenamed({"id": "dst", "hops": "hd"}), "dst")
-        edge_sized = induced.groupBy(F.greatest("hs", "hd").alias("hops")).agg((F.count(F.lit(1)) * 12).alias("chars"))
+        induced = _induced(graph, inner, site_depth)
+        edge_sized = induced.groupBy("hops").agg((F.count(F.lit(1)) * 12).alias("chars"))
         total = sized.unionByName(edge_sized)
         site_chars = None
         if graph.sites is not None:
             detail = graph.sites.join(
-                induced.where(F.col("has_sites") & ~F.col("sites_omitted")).select("src", "dst", "kind", F.greatest("hs", "hd").alias("hops")),
+                induced.where(F.col("has_sites") & ~F.col("sites_omitted")).select("root", "src", "dst", "kind", "hops"),
                 ["src", "dst", "kind"],
             )
             site_chars = detail.groupBy("hops").agg(

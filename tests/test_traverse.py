@@ -128,6 +128,29 @@ def test_dep_tree_marks_revisits_and_prunes(spark, make):
     assert broad == {("R", "A")}
 
 
+def test_snapshots_of_two_overlapping_centers(spark, make):
+    ids, edges, _ = digraph(12, 22, 30)
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in ids}
+    sites = [(a, b, "use", f"at {a}", "c", "p", None) for a, b in edges[::3]]
+    g = make(ids, edges, sites)
+    s = snapshot(g, ids_df(spark, ["n0", "n3"]), 2, 1)
+    got = {}
+    for r in s.nodes.collect():
+        got.setdefault(r.root, {})[r.id] = (r.idx, r.hops, r.boundary)
+    linked = {(r.root, r.src, r.dst): (r.src_idx, r.dst_idx, r.has_sites, r.sites_omitted) for r in s.edges.collect()}
+    detail = {(r.root, r.src, r.dst) for r in s.sites.collect()}
+    with_sites = {(a, b) for a, b, *_ in sites}
+    for root in ("n0", "n3"):
+        dist = bfs(near, root)
+        inner = {i: d for i, d in dist.items() if d <= 2}
+        order = sorted(inner, key=lambda i: (inner[i], i))
+        assert got[root] == {i: (order.index(i), inner[i], any(dist[j] == 3 for j in near[i]) and inner[i] == 2) for i in inner}
+        want = {(root, a, b): (order.index(a), order.index(b), (a, b) in with_sites, (a, b) in with_sites and max(inner[a], inner[b]) > 1) for a, b in edges if a in inner and b in inner}
+        assert {k: v for k, v in linked.items() if k[0] == root} == want
+        assert {k for k in detail if k[0] == root} == {k for k, v in want.items() if v[2] and not v[3]}
+    assert set(got["n0"]) & set(got["n3"]) and got["n0"] != got["n3"]
+
+
 def brute_tree(adj, types, root, depth):
     """Rows (depth, parent, node, revisit) with the shallowest place of each node expanded, and those that reach ``types``."""
     expanded, rows, frontier, up = {root}, [], [root], {}
