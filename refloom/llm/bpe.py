@@ -6,7 +6,7 @@ goes on until no leaf holds a mergeable pair.  Trees of words of about the same
 and every round does one merge in each of them.
 
 A text is cut at added tokens first, then at ASCII white space; a chunk's ids do not depend on what stands around it,
-so each distinct chunk of a batch is encoded once and remembered (bounded by ``REMEMBER``, then forgotten).
+so each distinct chunk of a batch is encoded once and remembered from task to task (bounded by ``REMEMBER``, then forgotten).
 
 Nulls and ties: a null text counts as empty and gives no ids; equal texts give equal ids; ids that are not in the
 vocabulary are left out on decoding, as the vocabulary's library does.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from refloom.llm.text import in_small_batches, pieces
 
-REMEMBER = 200_000
+REMEMBER = 600_000
 NONE = np.int64(1) << 62
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _loaded: dict[str, Bpe] = {}
@@ -228,13 +228,7 @@ def _each(docs: DataFrame, path: str, keep: tuple[str, ...], columns: tuple[str,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        try:
-            yield from encoded(bpe, batches)
-        finally:
-            bpe.chunks = {}  # workers live on after the task
-
-    def encoded(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=1 << 22):
             found = bpe.encode(batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays([f[0] for f in found], [f[1] for f in found])], names)
 
