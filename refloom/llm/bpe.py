@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from refloom.llm.text import in_small_batches, pieces
 
-REMEMBER = 600_000
+REMEMBER = 300_000
 NONE = np.int64(1) << 62
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _loaded: dict[str, Bpe] = {}
@@ -228,7 +228,7 @@ def _each(docs: DataFrame, path: str, keep: tuple[str, ...], columns: tuple[str,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for batch in pieces(batches, most=1 << 22):
+        for batch in pieces(batches, most=1 << 20):
             found = bpe.encode(batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays([f[0] for f in found], [f[1] for f in found])], names)
 
