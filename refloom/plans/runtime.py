@@ -52,22 +52,28 @@ class Cut:
         return F.broadcast(self.df) if self.nbytes <= BROADCAST_BYTES else self.df
 
 
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Measured size of a value; only maps and arrays of compound elements are written out as text for it."""
+    zero = F.lit(0)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), zero) + 8
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.coalesce(F.size(c), zero) * 8 + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.coalesce(F.octet_length(F.concat_ws("", c)), zero) + F.coalesce(F.size(c), zero) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(lambda x, y: x + y, [_bytes(c.getField(f.name), f.dataType) for f in kind.fields], F.lit(8))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        # elements are measured; the text form is longer than the binary one
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), zero) + 48
+    if isinstance(kind, T.VariantType):
+        return F.lit(1 << 20)  # not measured, hence never within the broadcast bound
+    return F.lit(8)
+
+
 def _payload(df: DataFrame) -> Column:
-    parts = [F.lit(16)]
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
-            parts.append(F.coalesce(F.size(c), F.lit(0)) * 8 + 16)
-        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            # elements are measured; the text form is longer than the binary one
-            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), F.lit(0)) + 48)
-        elif isinstance(f.dataType, T.VariantType):
-            parts.append(F.lit(1 << 20))  # not measured, hence never within the broadcast bound
-        else:
-            parts.append(F.lit(8))
-    return F.sum(reduce(lambda a, b: a + b, parts).cast("long"))
+    parts = [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return F.sum(reduce(lambda a, b: a + b, parts, F.lit(16)).cast("long"))
 
 
 def cut(df: DataFrame) -> Cut:
