@@ -61,10 +61,10 @@ def normalize_path(c) -> Column:
 
 
 def human_size(c) -> Column:
-    """KB with one decimal, MB from 1 MiB upwards."""
+    """KB with one decimal, MB from 1 MiB upwards; halves go to the even digit, as C's printf has them."""
     c = _c(c)
-    return F.when(c >= 1048576, F.format_string("%.1f MB", c / 1048576.0)).otherwise(
-        F.format_string("%.1f KB", c / 1024.0)
+    return F.when(c >= 1048576, F.format_string("%.1f MB", F.bround(c / 1048576.0, 1))).otherwise(
+        F.format_string("%.1f KB", F.bround(c / 1024.0, 1))
     )
 
 

@@ -73,6 +73,12 @@ def test_paths_and_queries(spark):
     assert [x[0] for x in k] == ["0.5 KB", "1.0 MB"]
 
 
+def test_size_text_rounds_halves_to_even_as_printf(spark):
+    sizes = {256: "0.2 KB", 768: "0.8 KB", 1280: "1.2 KB", 2304: "2.2 KB", 1310720: "1.2 MB", 1835008: "1.8 MB", 2359296: "2.2 MB", 0: "0.0 KB"}
+    k = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", sc.human_size("n")).collect()
+    assert {r[0]: r[1] for r in k} == sizes
+
+
 def test_json_helpers(spark):
     df = spark.createDataFrame([('{"b":{"fileId":"x\\"y","z":1},"a":[1,2]}',), ("{bad",)], "t string")
     rows = [r[0] for r in df.select(sc.blank_keys(sc.canonical_json("t"), ["fileId"])).collect()]
