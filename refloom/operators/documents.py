@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.plans.runtime import Levels, cut
+from refloom.plans.runtime import Levels, cut, spread, union_all
 
 # Fixed values of the document format.
 NODE_TYPES = ("cc.Node", "cc.Scene")
@@ -67,7 +67,7 @@ def doc_entries(docs: DataFrame, lists_only: bool = False) -> DataFrame:
             "doc_id", F.lit(None).cast("int").alias("idx"), F.try_parse_json("text").alias("entry")
         )
         rows = rows.unionByName(single.where(F.col("entry").isNotNull()))
-    return with_type(rows)
+    return spread(with_type(rows))
 
 
 def entry_table(entries: DataFrame) -> DataFrame:
@@ -116,10 +116,7 @@ def hosts(entries: DataFrame) -> DataFrame:
         step = cut(todo.hinted().join(nxt, ["doc_id", "up"]).select("doc_id", "idx", "host", F.col("up2").alias("up")))
         done.append(step.df.where(F.col("host").isNotNull()).select("doc_id", "idx", "host"))
         todo = cut(step.df.where(F.col("host").isNull() & F.col("up").isNotNull()).select("doc_id", "idx", "up"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return spread(union_all(done))
 
 
 def node_paths(entries: DataFrame, unnamed: str = "skip", any_type: bool = False) -> DataFrame:
@@ -161,7 +158,7 @@ def node_paths(entries: DataFrame, unnamed: str = "skip", any_type: bool = False
     if loose is None:
         return found
     looped = cut(info.join(loose, ["doc_id", "idx"], "left_semi").select("doc_id", "idx", "parent", "seg"))
-    return found.unionByName(_cycle_paths(looped.df))
+    return spread(found.unionByName(_cycle_paths(looped.df)))
 
 
 def _cycle_paths(looped: DataFrame) -> DataFrame:

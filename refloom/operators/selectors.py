@@ -9,7 +9,7 @@ from refloom.functions.scalar import base, decode_token, looks_compressed
 from refloom.operators.documents import INFO_TYPE, entry_table, is_node_type, node_paths, ref_at
 from refloom.operators.validate import child_refs
 from refloom.plans.ordering import positions_within
-from refloom.plans.runtime import Levels, cut
+from refloom.plans.runtime import Levels, cut, spread
 
 
 def type_names(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def type_names(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if nodes is None:
         return rows.select("doc_id", "idx", F.col("type").alias("name"))
     scripts = nodes.select(F.col("id").alias("_id"), F.regexp_replace(base("path"), r"(?i)\.[jt]s$", "").alias("_name"))
-    return rows.join(scripts, F.when(looks_compressed("type"), decode_token("type")) == F.col("_id"), "left").select(
+    return rows.join(cut(scripts).hinted(), F.when(looks_compressed("type"), decode_token("type")) == F.col("_id"), "left").select(
         "doc_id", "idx", F.coalesce("_name", "type").alias("name")
     )
 
@@ -114,7 +114,7 @@ def resolve_selectors(selectors: DataFrame, entries: DataFrame, nodes: DataFrame
     """
     rows = entry_table(entries.where(F.col("idx").isNotNull()))
     wanted = cut(selectors.select("doc_id", "selector").distinct())
-    in_docs = rows.join(wanted.hinted().select("doc_id"), "doc_id", "left_semi")
+    in_docs = spread(rows.join(wanted.hinted().select("doc_id"), "doc_id", "left_semi"))
     index = cut(node_index(in_docs)).df
     names = type_names(in_docs, nodes)
     sel = wanted.df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.plans.runtime import cut
+from refloom.plans.runtime import cut, spread
 
 _LOCAL = (1 << 33) - 1
 
@@ -41,7 +41,7 @@ def global_positions(df: DataFrame, order: list[str], name: str = "pos") -> Data
 
 def positions_within(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """0-based position of each row inside its group; safe for groups larger than one task."""
-    ranked = global_positions(df, group + order, "_gpos")
+    ranked = spread(global_positions(df, group + order, "_gpos"))
     starts = ranked.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group]).agg(F.min("_gpos").alias("_start"))
     on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
     return ranked.join(starts, on).select(*df.columns, (F.col("_gpos") - F.col("_start")).alias(name))
