@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refloom.operators.documents import (
     CROSS_REF_TYPE, INFO_TYPE, INSTANCE_TYPE, OVERRIDE_TYPE, entry_table, id_refs, is_node_type, node_paths, ref_at,
 )
-from refloom.plans.runtime import cut, union_all
+from refloom.plans.runtime import cut, spread, union_all
 
 ERRORS = ("empty", "no-root", "bad-ref", "null-entry", "untyped-entry", "bad-child", "bad-comp-ref", "unloadable")
 LEAK_NAME = "should_hide_in_hierarchy"  # fixed value
@@ -107,7 +107,7 @@ def instance_roots(entries: DataFrame) -> DataFrame:
         "doc_id", F.col("idx").alias("info"), ref_at("entry", "$.instance").alias("inst"),
         F.try_variant_get("entry", "$.fileId", "string").alias("file_id"), F.try_variant_get("entry", "$.asset.__uuid__", "string").alias("source"),
     )
-    return nodes.join(infos, ["doc_id", "info"]).where(F.col("inst").isNotNull())
+    return spread(nodes.join(infos, ["doc_id", "info"]).where(F.col("inst").isNotNull()))
 
 
 def instance_overrides(entries: DataFrame) -> DataFrame:
