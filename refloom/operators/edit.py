@@ -21,7 +21,7 @@ from refloom.operators.documents import (
 from refloom.operators.traverse import cascade_orphans, is_descendant, walk
 from refloom.operators.validate import child_refs, instance_roots
 from refloom.plans.ordering import positions_within, running_sum
-from refloom.plans.runtime import cut, union_all
+from refloom.plans.runtime import cut, spread, union_all
 
 # ---- text-level reference rewrite --------------------------------------------------------------
 
@@ -209,6 +209,7 @@ def apply_updates(entries: DataFrame, updates: DataFrame) -> tuple[DataFrame, Da
     ``op``: set, reorder, remove, insert, add_ref, drop_ref; ``value`` is JSON text.  Only fields that
     exist are set unless ``force``.  Instructions for an entry that does not exist are errors.
     """
+    entries = spread(entries)
     ups = updates if "force" in updates.columns else updates.withColumn("force", F.lit(False))
     ups = cut(ups.select("doc_id", "idx", F.col("seq").cast("int").alias("seq"), "op", "prop", "value", "force")).df
     # instructions per entry: bounded by what one entry is told to change
