@@ -230,6 +230,7 @@ def set_refs(entries: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFra
 
     The target must exist (semi join) and the field must hold a reference or null.
     """
+    entries = spread(entries)
     ups = updates if "force" in updates.columns else updates.withColumn("force", F.lit(False))
     live = entries.select("doc_id", F.col("idx").alias("target"))
     good = ups.join(live, ["doc_id", "target"], "left_semi")
@@ -265,6 +266,7 @@ def _unkey(df: DataFrame, entries: DataFrame) -> DataFrame:
 
 def subtree_entries(entries: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, root, idx): each seed node with descendants, components and their bookkeeping entries."""
+    entries = spread(entries)
     nodes = entries.where(is_node_type()).select("doc_id", "idx", "type", "entry")
     down = lambda df, path: child_refs(df, path).where(F.col("target").isNotNull()).select("doc_id", "idx", "target")
     single = lambda df, path: df.select("doc_id", "idx", ref_at("entry", path).alias("target")).where(F.col("target").isNotNull())
@@ -301,11 +303,12 @@ def compact(entries: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFram
     References into the removed set leave their lists and become null in properties; every other
     reference follows its target to the new position.  Untouched documents pass through.
     """
+    entries = spread(entries)
     hit = cut(removed.select("doc_id", "idx").distinct())
     docs = hit.df.select("doc_id").distinct()
     rest = entries.join(docs, "doc_id", "left_anti")
     affected = cut(entries.where(F.col("idx").isNotNull()).join(docs, "doc_id", "left_semi")).df
-    keep = affected.join(hit.hinted(), ["doc_id", "idx"], "left_anti")
+    keep = spread(affected.join(hit.hinted(), ["doc_id", "idx"], "left_anti"))
     moved = cut(positions_within(keep.select("doc_id", "idx"), ["doc_id"], ["idx"], "new_idx")).df.withColumn("new_idx", F.col("new_idx").cast("int"))
     fate = moved.unionByName(hit.df.select("doc_id", "idx", F.lit(-1).alias("new_idx"))).select("doc_id", F.col("idx").alias("target"), "new_idx")
     refs = id_refs(keep).select("doc_id", F.col("owner").alias("idx"), "target").distinct().join(fate, ["doc_id", "target"])

@@ -14,7 +14,7 @@ from refloom.plans import runtime
 
 SF = os.environ.get("REFLOOM_SF_DIR", "/root/testdata/sf0.001")
 NAMES = (
-    "get_values", "instance_overrides", "type_refs", "upsert_overrides", "uuid_refs",
+    "delete_report", "get_values", "instance_overrides", "type_refs", "upsert_overrides", "uuid_refs",
 )
 
 
