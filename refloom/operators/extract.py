@@ -55,7 +55,7 @@ def resolve_tokens(refs: DataFrame, nodes: DataFrame, col: str = "ref") -> DataF
     """References written as compressed tokens, decoded and kept only when the id is a node."""
     rest = [c for c in refs.columns if c != col]
     decoded = refs.where(looks_compressed(col)).select(*rest, decode_token(col).alias(col))
-    return decoded.join(nodes.select(F.col("id").alias(col)), col, "left_semi")
+    return decoded.join(cut(nodes.select(F.col("id").alias(col))).hinted(), col, "left_semi")
 
 
 def type_tokens(names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def component_names(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``component_name`` and ``component_script`` (path of the defining script, if any)."""
     scripts = nodes.select(F.col("id").alias("_cid"), F.col("path").alias("component_script"))
     key = F.when(looks_compressed("component"), decode_token("component"))
-    return sites.join(scripts, key == F.col("_cid"), "left").drop("_cid").withColumn(
+    return sites.join(cut(scripts).hinted(), key == F.col("_cid"), "left").drop("_cid").withColumn(
         "component_name",
         F.coalesce(F.regexp_replace(base("component_script"), r"(?i)\.[jt]s$", ""), F.col("component"), F.lit("")),
     )
@@ -123,12 +123,13 @@ def resolve_refs(raw: DataFrame, nodes: DataFrame, sub_items: DataFrame | None =
     the node.  A reference to a whole owner is usage with a NULL sub-item.
     """
     refs = raw.select(*RAW).withColumn("dst", main_id("ref")).withColumn("sub", sub_id("ref"))
-    joined = refs.join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("_type")), "dst", "left")
+    # few targets are referred to by very many rows: both tables are broadcast where their measured size allows it
+    joined = refs.join(cut(nodes.select(F.col("id").alias("dst"), F.col("type").alias("_type"))).hinted(), "dst", "left")
     if sub_items is not None:
         subs = sub_items.select(
             F.col("owner_id").alias("dst"), F.col("sub_id").alias("sub"), F.col("kind").alias("_sub_kind"), F.col("name").alias("_sub_name")
         )
-        joined = joined.join(subs, ["dst", "sub"], "left")
+        joined = joined.join(cut(subs).hinted(), ["dst", "sub"], "left")
     else:
         joined = joined.withColumn("_sub_kind", F.lit(None).cast("string")).withColumn("_sub_name", F.lit(None).cast("string"))
     rows = cut(joined.withColumn("kind", F.coalesce("_sub_kind", "_type"))).df
