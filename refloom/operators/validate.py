@@ -141,7 +141,7 @@ def instance_overrides(entries: DataFrame) -> DataFrame:
 def override_rows(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Overrides with the file path and type of their document: what the rule engine reads."""
     n = nodes.select(F.col("id").alias("doc_id"), F.col("path").alias("file"), "type")
-    return instance_overrides(entries).join(n, "doc_id")
+    return instance_overrides(entries).join(cut(n).hinted(), "doc_id")
 
 
 def name_leaks(entries: DataFrame, pattern: str = LEAK_NAME) -> DataFrame:
