@@ -126,7 +126,7 @@ def usage_sites(spark, sf):
     nodes, res = _resolved(spark, sf)
     g = Graph(nodes, res.edges, res.links, res.sites)
     scripts = nodes.where(F.col("type") == "script").select(F.col("id").alias("dst"))
-    pairs = res.edges.join(scripts, "dst", "left_semi").select("src", "dst")
+    pairs = res.edges.join(cut(scripts).hinted(), "dst", "left_semi").select("src", "dst")
     return sites(g, pairs).select("src", "dst", "node_path", "component", "property")
 
 
