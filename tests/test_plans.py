@@ -14,7 +14,7 @@ from refloom.plans import runtime
 
 SF = os.environ.get("REFLOOM_SF_DIR", "/root/testdata/sf0.001")
 NAMES = (
-    "deep_override_rule", "delete_entries", "delete_report", "get_values", "instance_overrides", "resolved_edges", "site_selectors", "type_refs",
+    "dangling_assets", "deep_override_rule", "delete_entries", "delete_report", "get_values", "instance_overrides", "resolved_edges", "site_selectors", "type_refs",
     "upsert_overrides", "usage_sites", "uuid_refs",
 )
 
