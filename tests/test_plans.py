@@ -14,8 +14,8 @@ from refloom.plans import runtime
 
 SF = os.environ.get("REFLOOM_SF_DIR", "/root/testdata/sf0.001")
 NAMES = (
-    "dangling_assets", "deep_override_rule", "delete_entries", "delete_report", "get_values", "instance_overrides", "resolved_edges", "site_selectors", "type_refs",
-    "upsert_overrides", "usage_sites", "uuid_refs",
+    "dangling_assets", "deep_override_rule", "delete_entries", "delete_report", "get_values", "instance_overrides", "resolved_edges", "site_selectors", "sub_usage",
+    "type_refs", "upsert_overrides", "usage_sites", "uuid_refs",
 )
 
 
