@@ -309,3 +309,11 @@ def test_min_util_rule(spark, make):
 def test_find_ranks_basename_first(make):
     g = make({"1": ("t", 1, None, "coin/x.png"), "2": ("t", 1, None, "ui/a_coin.png"), "3": ("t", 1, None, "ui/coin.png")}, [])
     assert [r.id for r in fl.find(g.nodes, "COIN").collect()] == ["3", "2", "1"]
+
+
+def test_duplicate_rule_writes_halves_as_printf(spark, make):
+    groups = spark.createDataFrame([("a", 2, 2304), ("b", 10, 2359296)], "canonical_path string, count long, reclaimable long")
+    found = evaluate_rules(make(["a", "b"], []), [{"name": "no-duplicate-files", "axis": "files"}], Context(duplicates={"files": groups})).violations
+    assert {r.asset: r.message for r in found.collect()} == {
+        "a": "duplicate files: 1 redundant copy(ies) of a (2.2 KB)", "b": "duplicate files: 9 redundant copy(ies) of b (2.2 MB)",
+    }
