@@ -6,15 +6,17 @@ built together and stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.model import Graph
-from refloom.operators.traverse import both_ways, walk
+from refloom.operators.traverse import _hop, both_ways
 from refloom.plans.ordering import positions_within
-from refloom.plans.runtime import cached, cut
+from refloom.plans.runtime import BROADCAST_BYTES, Cut, Levels, cut, join_frontier
 
 # Fixed default limits of a snapshot: depth, depth of site detail, size in characters.
 MAX_DEPTH = 5
@@ -32,37 +34,67 @@ class Snapshot:
     over: bool
 
 
-def _known_links(graph: Graph) -> DataFrame:
-    ids = graph.nodes.select("id")
-    e = graph.adjacency.select("src", "dst").distinct()
-    return e.join(ids, e["src"] == F.col("id"), "left_semi").join(ids, e["dst"] == F.col("id"), "left_semi")
+def _known(graph: Graph, found: Cut) -> Cut:
+    """The rows of ``found`` whose node exists; few rows are looked up without moving the nodes."""
+    ids = graph.nodes.select(F.col("id").alias("node"))
+    if found.nbytes <= BROADCAST_BYTES:
+        ids = ids.join(found.hinted().select("node"), "node", "left_semi")
+    return cut(found.df.join(ids, "node", "left_semi"))
+
+
+def _levels(graph: Graph, center: DataFrame) -> Iterator[Cut]:
+    """(root, node, hops) of the nodes at each distance from their centre, nearest first; a level is walked when it is asked for.
+
+    Links are read again for each hop: a small frontier is broadcast into the scan, so no hop moves or keeps the link table.
+    """
+    pairs = both_ways(graph.adjacency)
+    seen = Levels()
+    start = center.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
+    level = _known(graph, cut(start.withColumn("hops", F.lit(0))))
+    while not level.empty:
+        seen.add(level)
+        yield level
+        level = _known(graph, _hop(level, pairs, seen.hinted()))
 
 
 def snapshot_nodes(graph: Graph, center: DataFrame, depth: int) -> DataFrame:
     """(root, id, path, type, size, container, hops, boundary) within ``depth`` hops of each centre."""
-    pairs = both_ways(_known_links(graph))
-    start = center.select(F.col("id").alias("root"), F.col("id").alias("node"))
-    # one hop more than asked tells whether a node has neighbours that were trimmed
-    reach = cut(walk(pairs, start, depth + 1))
-    return _mark_boundary(graph, pairs, reach.df, depth)
-
-
-def _mark_boundary(graph: Graph, pairs: DataFrame, reach: DataFrame, depth: int) -> DataFrame:
-    inner = reach.where(F.col("hops") <= depth).select("root", F.col("node").alias("id"), "hops")
-    rim = reach.where(F.col("hops") == depth + 1).select("root", F.col("node").alias("dst"))
-    # only a centre's nodes at exactly ``depth`` can touch its rim
-    edge_of = pairs.join(rim, "dst").select("root", F.col("src").alias("id")).distinct().withColumn("_b", F.lit(True))
-    return (
-        inner.join(edge_of, ["root", "id"], "left")
-        .join(graph.nodes.select("id", "path", "type", "size", "container"), "id")
-        .select("root", "id", "path", "type", "size", "container", "hops", F.coalesce("_b", F.lit(False)).alias("boundary"))
-    )
+    return _marked(graph, list(islice(_levels(graph, center), depth + 1)), depth)
+
+
+def _marked(graph: Graph, levels: list[Cut], depth: int) -> DataFrame:
+    seen = Levels()
+    for level in levels:
+        seen.add(level)
+    nodes = graph.nodes.select("id", "path", "type", "size", "container")
+    if not levels:
+        return nodes.where(F.lit(False)).select(F.col("id").alias("root"), "*", F.lit(0).alias("hops"), F.lit(False).alias("boundary"))
+    inner = nodes.join(seen.hinted().select("root", F.col("node").alias("id"), "hops"), "id")
+    columns = ["root", "id", "path", "type", "size", "container", "hops"]
+    if len(levels) <= depth:
+        return inner.select(*columns, F.lit(False).alias("boundary"))
+    rim = _rim(graph, levels[-1], seen).hinted().withColumn("_b", F.lit(True))
+    return inner.join(rim, ["root", "id"], "left").select(*columns, F.coalesce("_b", F.lit(False)).alias("boundary"))
+
+
+def _rim(graph: Graph, last: Cut, seen: Levels) -> Cut:
+    """(root, id): nodes of the last level with a neighbour that was trimmed; no nearer node can have one."""
+    near = join_frontier(last, both_ways(graph.adjacency), F.col("node") == F.col("src"))
+    near = near.select("root", F.col("node").alias("id"), F.col("dst").alias("node"))
+    beyond = near.join(seen.hinted().select("root", "node"), ["root", "node"], "left_anti").distinct()
+    ids = graph.nodes.select(F.col("id").alias("node"))
+    return cut(beyond.join(ids, "node", "left_semi").select("root", "id").distinct())
 
 
 def _induced(graph: Graph, nodes: DataFrame, site_depth: int) -> DataFrame:
-    """(root, src, dst, kind, hops, has_sites, sites_omitted): edges between nodes of one centre, hops of the farther end."""
+    """(root, src, dst, kind, hops, has_sites, sites_omitted): edges between nodes of one centre, hops of the farther end.
+
+    Links to and from other nodes are left out first, below the count that makes edges of links where ``nodes`` is broadcast.
+    """
     n = nodes.select("root", "id", "hops")
     e = graph.edges.select("src", "dst", "kind")
+    for end in ("src", "dst"):
+        e = e.join(n.select(F.col("id").alias(end)), end, "left_semi")
     inside = e.join(n.withColumnsRenamed({"id": "src", "hops": "hs"}), "src").join(
         n.withColumnsRenamed({"id": "dst", "hops": "hd"}), ["root", "dst"]
     ).withColumn("hops", F.greatest("hs", "hd"))
@@ -77,14 +109,14 @@ def _induced(graph: Graph, nodes: DataFrame, site_depth: int) -> DataFrame:
 
 
 def snapshot(graph: Graph, center: DataFrame, depth: int = MAX_DEPTH, site_depth: int = SITE_DEPTH) -> Snapshot:
-    nodes = cut(snapshot_nodes(graph, center, depth)).df
+    nodes = cut(snapshot_nodes(graph, center, depth))
     return _assemble(graph, nodes, depth, site_depth, False, False)
 
 
-def _assemble(graph: Graph, nodes: DataFrame, depth: int, site_depth: int, dropped: bool, over: bool) -> Snapshot:
-    numbered = cut(positions_within(nodes, ["root"], ["hops", "path", "id"], "idx")).df
-    edges = _induced(graph, nodes, site_depth)
-    ix = numbered.select("root", "id", "idx")
+def _assemble(graph: Graph, nodes: Cut, depth: int, site_depth: int, dropped: bool, over: bool) -> Snapshot:
+    numbered = cut(positions_within(nodes.df, ["root"], ["hops", "path", "id"], "idx"))
+    edges = _induced(graph, nodes.hinted(), site_depth)
+    ix = numbered.hinted().select("root", "id", "idx")
     coded = (
         edges.join(ix.withColumnsRenamed({"id": "src", "idx": "src_idx"}), ["root", "src"])
         .join(ix.withColumnsRenamed({"id": "dst", "idx": "dst_idx"}), ["root", "dst"])
@@ -94,7 +126,7 @@ def _assemble(graph: Graph, nodes: DataFrame, depth: int, site_depth: int, dropp
     if graph.sites is not None and site_depth >= 0:
         near = coded.where(F.col("has_sites") & ~F.col("sites_omitted")).select("root", "src", "dst", "kind")
         sites = graph.sites.join(near, ["src", "dst", "kind"])
-    return Snapshot(numbered, coded, sites, depth, dropped, over)
+    return Snapshot(numbered.df, coded, sites, depth, dropped, over)
 
 
 def snapshot_fit(
@@ -102,36 +134,40 @@ def snapshot_fit(
 ) -> Snapshot:
     """The deepest snapshot whose estimated text, of all centres together, fits ``cap``; at worst depth 1 without site detail.
 
-    The neighbourhood is walked once to the largest depth; per-depth sizes are running sums over the
-    at most ``max_depth`` levels, so nothing is walked again for a smaller depth.
+    Sizes only grow with the depth, so the walk ends at the first depth that does not fit; nothing is walked twice.
     """
-    pairs = cached(both_ways(_known_links(graph)))
-    try:
-        start = center.select(F.col("id").alias("root"), F.col("id").alias("node"))
-        reach = cut(walk(pairs, start, max_depth + 1)).df
-        inner = reach.where(F.col("hops") <= max_depth).select("root", F.col("node").alias("id"), "hops")
-        sized = inner.join(graph.nodes, "id").groupBy("hops").agg(F.sum(F.length("path") + 12).alias("chars"))
-        induced = _induced(graph, inner, site_depth)
-        edge_sized = induced.groupBy("hops").agg((F.count(F.lit(1)) * 12).alias("chars"))
-        total = sized.unionByName(edge_sized)
-        site_chars = None
-        if graph.sites is not None:
-            detail = graph.sites.join(
-                induced.where(F.col("has_sites") & ~F.col("sites_omitted")).select("root", "src", "dst", "kind", "hops"),
-                ["src", "dst", "kind"],
-            )
-            site_chars = detail.groupBy("hops").agg(
-                F.sum(F.length(F.concat_ws(",", "node_path", "component", "property", "sub_name")) + 6).alias("chars")
-            )
-        per = {int(r["hops"]): int(r["chars"]) for r in total.groupBy("hops").agg(F.sum("chars").alias("chars")).collect()}
-        extra = {int(r["hops"]): int(r["chars"]) for r in site_chars.collect()} if site_chars is not None else {}
-        size = lambda d, src: sum(v for h, v in src.items() if h <= d)
-        depth = next((d for d in range(max_depth, 0, -1) if size(d, per) + size(d, extra) <= cap), None)
-        dropped = depth is None
-        over = dropped and size(1, per) > cap
-        depth = depth or 1
-        nodes = cut(_mark_boundary(graph, pairs, reach, depth) if depth == max_depth else
-                    _mark_boundary(graph, pairs, reach.where(F.col("hops") <= depth + 1), depth)).df
-        return _assemble(graph, nodes, depth, -1 if dropped else site_depth, dropped, over)
-    finally:
-        pairs.unpersist()
+    names = graph.nodes.select(F.col("id").alias("node"), F.length("path").alias("chars"))
+    seen, levels = Levels(), []
+    used = sites_used = fits = 0
+    ahead = _levels(graph, center)
+    for at in range(max_depth + 1):
+        level = next(ahead, None)
+        if level is None:  # nothing is farther away
+            fits = max_depth if used + sites_used <= cap else 0
+            break
+        levels.append(level)
+        seen.add(level)
+        used += names.join(level.hinted(), "node").agg(F.sum(F.col("chars") + 12).alias("n")).first()["n"] or 0
+        if used <= cap:
+            reach = seen.hinted().select("root", F.col("node").alias("id"), "hops")
+            edges, detail = _level_chars(graph, reach, at, site_depth)
+            used, sites_used = used + edges, sites_used + detail
+        if at and used + sites_used > cap:
+            break
+        fits = at
+    dropped = fits == 0
+    over = dropped and used > cap
+    depth = fits or 1
+    nodes = cut(_marked(graph, levels[: depth + 1], depth))
+    return _assemble(graph, nodes, depth, -1 if dropped else site_depth, dropped, over)
+
+
+def _level_chars(graph: Graph, reach: DataFrame, hops: int, site_depth: int) -> tuple[int, int]:
+    """Estimated text of the edges whose farther end is ``hops`` away, and of their sites."""
+    induced = _induced(graph, reach, site_depth).where(F.col("hops") == hops)
+    edges = induced.count() * 12
+    if graph.sites is None:
+        return edges, 0
+    shown = induced.where(F.col("has_sites") & ~F.col("sites_omitted")).select("src", "dst", "kind")
+    text = F.concat_ws(",", "node_path", "component", "property", "sub_name")
+    return edges, graph.sites.join(shown, ["src", "dst", "kind"]).agg(F.sum(F.length(text) + 6).alias("n")).first()["n"] or 0

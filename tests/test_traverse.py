@@ -113,6 +113,22 @@ def test_snapshot_line(spark, make):
     assert tiny.depth == 1 and tiny.dropped_sites and tiny.over
 
 
+def test_snapshot_fit_walks_no_farther_than_its_budget(spark, make, monkeypatch):
+    from refloom.operators import snapshot as module
+    from refloom.plans.runtime import cut
+
+    written = []
+    monkeypatch.setattr(module, "cut", lambda df: written.append(cut(df)) or written[-1])
+    hub = [("c", f"m{i}") for i in range(3)] + [(f"m{i % 3}", f"far{i}") for i in range(300)] + [("far0", "gone")]
+    g = make(["c", "x"] + sorted({b for _, b in hub} - {"gone"}), hub + [("far1", "x")])
+    s = snapshot_fit(g, ids_df(spark, ["c"]), 5, cap=200)
+    assert s.depth == 1 and {r.id: r.boundary for r in s.nodes.collect()} == {"c": False, "m0": True, "m1": True, "m2": True}
+    assert s.edges.count() == 3 and max(c.rows for c in written) == 300  # the first level that does not fit, and nothing beyond it
+    # links to what is no node make no boundary
+    rim = {r.id: r.boundary for r in snapshot(g, ids_df(spark, ["c"]), 2).nodes.collect()}
+    assert not rim["far0"] and rim["far1"] and not rim["m0"]
+
+
 def test_dep_tree_marks_revisits_and_prunes(spark, make):
     types = {"R": "r", "A": "a", "B": "b", "C": "c", "X": "x"}
     g = make({k: (t, 1, None) for k, t in types.items()}, [("R", "A"), ("R", "B"), ("A", "C"), ("B", "C"), ("C", "R"), ("C", "X")])
