@@ -18,22 +18,34 @@ any other; rows that repeat a doc_id share its places, so an equal line at the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.plans.runtime import cut
 
 COARSE, FINE = 2, 16
+#: what counts as a space beside the space itself
+BLANKS = "\t\r\x0b\x0c"
 ID = ["_h", "_g"]
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "))
+    """The line in lower case, other blanks as spaces, trimmed; translate goes character by character, so only lines with such blanks pay for it."""
+    low = F.lower(line)
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in BLANKS])
+    return F.trim(F.when(odd, F.translate(low, BLANKS, " " * len(BLANKS))).otherwise(low))
+
 
+def _lines(docs: DataFrame, full: bool = False) -> DataFrame:
+    """(doc_id, _text_id, _line, _t and its 128-bit hash) of every line, or of those that are not blank.
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text_id, _line, _t and its 128-bit hash) of every line."""
+    Blank lines are told from the raw text: a condition on _t would be moved below it, and every line normalised twice.
+    """
     cut_up = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_text_id"), F.posexplode(F.split("text", "\n")).alias("_line", "_raw"))
+    if full:
+        cut_up = cut_up.where(F.ltrim("_raw", F.lit(" " + BLANKS)) != "")
     lines = cut_up.select("doc_id", "_text_id", "_line", _normal(F.col("_raw")).alias("_t"))
     return lines.select("*", F.xxhash64("_t").alias("_h"), F.xxhash64(F.lit(2), "_t").alias("_g"))
 
@@ -90,12 +102,13 @@ def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    lines = _lines(docs)
-    full = lines.where("_t <> ''")
+    full = _lines(docs, full=True)
     size = F.length("_t")
     keys = [_frame(F.col("_t"), size - less, piece, COARSE)[0] for less in (0, 1) for piece in range(COARSE)] if edits else []
     place = F.struct("doc_id", "_line")
-    distinct = full.groupBy(*ID).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_times"), *[F.min(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    # keys before the grouping, so that it sorts no texts
+    keyed = full.select(*ID, place.alias("_place"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    distinct = keyed.groupBy(*ID).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_times"), *[F.min(f"_k{i}").alias(f"_k{i}") for i in range(len(keys))])
     distinct = cut(distinct).df
     groups = distinct.where("_times > 1").select(*ID, "_first")
     if edits:
@@ -103,7 +116,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
         groups = distinct.join(near, ID, "left").where("_times > 1 or _near is not null").select(*ID, F.least("_first", F.coalesce("_near", "_first")).alias("_first"))
     firsts = cut(groups).hinted()
     gone = F.coalesce(place > F.col("_first"), F.lit(False))
-    flagged = lines.drop("_t").join(firsts, ID, "left").select("doc_id", "_text_id", "_line", gone.alias("_gone"))
+    flagged = _lines(docs).drop("_t").join(firsts, ID, "left").select("doc_id", "_text_id", "_line", gone.alias("_gone"))
     marks = flagged.groupBy("doc_id", "_text_id").agg(F.sort_array(F.collect_set(F.struct("_line", "_gone"))).alias("_all"), F.max("_gone").alias("_any")).where("_any")
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("_text_id").alias("_id"), F.array_join(F.transform("_all", lambda x: F.when(x["_gone"], "1").otherwise("0")), "").alias("_marks"))
     marks = cut(marks).hinted()

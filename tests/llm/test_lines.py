@@ -73,3 +73,11 @@ def test_documents_with_clashing_names(spark):
     got = lines.dedup_lines(df)
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     assert sorted(map(tuple, got.collect())) == [(1, "first line\nsecond one", 1, 2, 3, "4", 2, 0), (2, "third thing", 5, 6, 7, "8", 2, 1)]
+
+
+def test_lines_are_normalised_once_and_texts_are_not_sorted(spark):
+    df = spark.createDataFrame([(1, "one\ttwo\n \r\x0b\x0c\t\n\x0bÉcole"), (2, None), (3, "\u00a0\n")], "doc_id long, text string")
+    full = lines._lines(df, full=True)
+    assert sorted(map(tuple, full.select("doc_id", "_line", "_t").collect())) == [(1, 0, "one two"), (1, 2, "école"), (3, 0, "\u00a0")]
+    plan = full.select("_h")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2  # both branches of one expression; a filter on its result would add two
