@@ -21,7 +21,7 @@ from refloom.sources.tables import key
 from refloom.streaming.refresh import current_edges, refresh_stream
 from refloom.workload.base import query, rows_as
 from refloom.workload.inputs import (
-    DOCS, HREF, UID, asset_nodes, asset_subs, atlas_texts, conv_entries, instance_docs, part_docs, plist_texts, table, uid,
+    DOCS, HREF, UID, asset_nodes, asset_subs, atlas_texts, conv_entries, instance_docs, part_docs, part_entries, plist_texts, table, uid,
 )
 
 # ---- extraction --------------------------------------------------------------------------------
@@ -68,7 +68,7 @@ def first_referrers(spark, sf):
 
 @query("""SELECT idx::INTEGER AS idx, host::INTEGER AS host, count(*) AS n FROM part, (VALUES (1, 1), (2, 2), (3, 2), (4, 1), (5, 2)) t(idx, host) GROUP BY ALL""")
 def owning_nodes(spark, sf):
-    return dc.hosts(dc.doc_entries(part_docs(spark, sf))).groupBy("idx", "host").agg(rows_as("n"))
+    return dc.hosts(part_entries(spark, sf)).groupBy("idx", "host").agg(rows_as("n"))
 
 
 @query("""SELECT conv_id AS doc_id, turn::INTEGER AS idx, list_aggregate(list(role) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id, grp ORDER BY turn), 'string_agg', '/') AS path
@@ -440,7 +440,7 @@ SELECT doc_id, idx, 'entry' AS what, value FROM ({_shown({2: SHOWN[2].replace("p
 UNION ALL SELECT doc_id, 2, 'error', 'no existing property "_nope"' FROM pd UNION ALL SELECT doc_id, 3, 'warning', 'value kind "number" differs from "asset"' FROM pd""")
 def apply_updates(spark, sf):
     """A rename, a typo and a type drift in every document; all entries and notes."""
-    p, e = table(spark, sf, "part"), dc.doc_entries(part_docs(spark, sf))
+    p, e = table(spark, sf, "part"), part_entries(spark, sf)
     d = key("P", "p_partkey").alias("doc_id")
     up = lambda i, prop, v: p.select(d, F.lit(i).alias("idx"), F.lit(0).alias("seq"), F.lit("set").alias("op"), F.lit(prop).alias("prop"), v.alias("value"))
     ups = up(2, "_name", F.concat(F.lit('"'), F.upper("p_name"), F.lit('"'))).unionByName(up(2, "_nope", F.lit("1"))).unionByName(up(3, "_spriteFrame", F.lit("1")))
@@ -455,14 +455,14 @@ DELETED = {1: SHOWN[1].replace('[{"__id__":2}]', "[]").replace('"__id__":4', '"_
 @query(f"WITH {DOCS} {_shown(DELETED, drop=(3, 4, 5))}")
 def delete_entries(spark, sf):
     """The inner node of every document deleted with all it owns; the rest renumbered, references included."""
-    e = dc.doc_entries(part_docs(spark, sf))
+    e = part_entries(spark, sf)
     out, _, _ = ed.delete_entries(e, e.where(F.col("idx") == 2).select("doc_id", "idx"))
     return _entries_as_text(out)
 
 
 @query("""SELECT 'P' || p_partkey AS doc_id, 'removed 3' AS outcome FROM part UNION ALL SELECT 'P' || p_partkey, 'cannot remove the root node' FROM part""")
 def delete_report(spark, sf):
-    e = dc.doc_entries(part_docs(spark, sf))
+    e = part_entries(spark, sf)
     _, report, errors = ed.delete_entries(e, e.where(F.col("idx").isin(1, 2)).select("doc_id", "idx"))
     return report.select("doc_id", F.concat(F.lit("removed "), F.col("removed").cast("string")).alias("outcome")).unionByName(errors.select("doc_id", F.col("error").alias("outcome")))
 
@@ -499,7 +499,7 @@ def add_nodes(spark, sf):
     """A node appended to every document from its own template, and linked; all entries."""
     p = table(spark, sf, "part")
     adds = p.select(key("P", "p_partkey").alias("doc_id"), F.lit(0).alias("seq"), F.lit(1).alias("parent"), F.concat(F.lit("New "), F.col("p_size").cast("string")).alias("name"), F.lit(-1).alias("pos"))
-    out, _ = ed.add_nodes(dc.doc_entries(part_docs(spark, sf)), adds)
+    out, _ = ed.add_nodes(part_entries(spark, sf), adds)
     return _entries_as_text(out)
 
 
@@ -539,7 +539,7 @@ def require_version(spark, sf):
 @query("""SELECT 'P' || p_partkey AS doc_id, CASE WHEN p_size > 25 THEN p_name ELSE upper(p_name) END AS name, (p_size <= 25)::INTEGER AS components FROM part""")
 def apply_batch(spark, sf):
     """An ordered batch per document; documents whose second step fails keep their first state."""
-    p, e = table(spark, sf, "part"), dc.doc_entries(part_docs(spark, sf))
+    p, e = table(spark, sf, "part"), part_entries(spark, sf)
     none = F.lit(None)
     row = lambda seq, kind, idx, prop, value: p.select(
         key("P", "p_partkey").alias("doc_id"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), none.cast("string").alias("prop") if prop is None else F.lit(prop).alias("prop"),
@@ -566,7 +566,7 @@ def array_objects(spark, sf):
     p = table(spark, sf, "part").select(key("P", "p_partkey").alias("doc_id"))
     row = lambda seq, op, prop, value: p.select("doc_id", F.lit(3).alias("idx"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(prop).alias("prop"), F.lit(value).alias("value"))
     ops = row(0, "insert_clone", "_events", "{}").unionByName(row(1, "insert_type", "_clips", '{"at":0,"type":"my.Clip"}')).unionByName(row(2, "insert_clone", "_clips", "{}"))
-    out, notes = ed.array_edit(dc.doc_entries(part_docs(spark, sf)), ops)
+    out, notes = ed.array_edit(part_entries(spark, sf), ops)
     return _entries_as_text(out).unionByName(notes.where("level = 'error'").select("doc_id", "idx", F.col("note").alias("value")))
 
 
@@ -584,7 +584,7 @@ SELECT doc_id, idx, value FROM ({_shown(LABELLED, "p_size <= 20")} UNION ALL {_s
 UNION ALL SELECT doc_id, NULL, 'no such entry' FROM pd WHERE p_size > 40""")
 def batch_documents(spark, sf):
     """Batches whose step numbers differ from document to document: two renames, then a component, a delete or a failure."""
-    p, e = table(spark, sf, "part"), dc.doc_entries(part_docs(spark, sf))
+    p, e = table(spark, sf, "part"), part_entries(spark, sf)
     none = F.lit(None)
 
     def row(seq, kind, idx, prop, value, which="true"):

@@ -50,3 +50,12 @@ def test_marked_rows_are_shuffled_by_later_joins(spark):
     joined = e.select("doc_id", "idx").join(e.groupBy("doc_id").agg(F.max("idx").alias("top")), "doc_id")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["idx"] for r in joined.collect()) == [0, 1]
+
+
+def test_documents_are_dealt_over_tasks_before_they_are_built(spark):
+    from refloom.workload.inputs import instance_docs, part_docs, part_entries
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for docs in (part_docs(spark, "/root/testdata/sf0.001"), instance_docs(spark, "/root/testdata/sf0.001")):
+        assert docs.where("text like '[%'").rdd.getNumPartitions() == tasks
+    assert "parse_json" not in part_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
