@@ -1,35 +1,91 @@
-"""Exact closure sizes of every node without a row for each pair of root and reached node.
+"""Closure sizes and closure reports of very many roots without a stored row for each pair of root and reached node.
 
-Links are numbered, cycles are contracted and the rest is levelled from its sinks.  The set of what a node reaches is kept as
-words of 64 bits, (node, word, bits), and is the bitwise or of its children's sets, taken level by level; nodes with many
-links get the lowest numbers, so that what many sets share lies in few words.  A node that nothing else needs the set of is only
-counted.  The other direction uses the same levels from the top.
+What a link leads to is a target.  Every node reaches its own targets and whatever their heads reach: the head of a target is
+the only node it links to, or the target itself where it links to several; a target without links has none.  So only heads need
+sets of their own, and targets that lead to one and the same node share one.  Heads and all that lies behind them are the core;
+core links are walked alone, which leaves out the many nodes that nothing leads to.  Then all links move twice: to their targets,
+for number and head, and to their sources, where what a node reaches is put together and counted without being stored.
+
+Exact sets are words of 64 bits, (node, word, bits): the bitwise or of the children's sets, level by level over the core with its
+cycles contracted; core nodes, then targets with many links, get the lowest numbers, so that what many sets share lies in few
+words.  Equal words of different sources are counted once for the sources of each target.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.operators.scc import cycle_members
 from refloom.plans.ordering import global_positions
-from refloom.plans.runtime import cut, union_all
+from refloom.plans.runtime import Cut, cut, union_all
+
+
+# A task that puts together what sources reach gets about this many links, so that its tables fit into memory.
+TASK_LINKS = 500_000
+
+
+@dataclass(frozen=True)
+class Heads:
+    """``pairs`` (src, dst): the links that join two nodes, ``count`` of them; ``targets`` (id, uses, head, inside: in the core);
+    ``core`` (id); ``inner`` (src, dst): the links between core nodes."""
+
+    pairs: DataFrame
+    count: int
+    targets: Cut
+    core: Cut
+    inner: Cut
+
+
+def _mark(c):
+    return F.xxhash64(c)
+
+
+def heads_of(links: DataFrame) -> Heads:
+    """A node has a single child if the smallest and the largest hash of its children are equal and no other target has that hash."""
+    pairs = links.where(F.col("src") != F.col("dst")).select("src", "dst")
+    ends = cut(pairs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("uses")))
+    mark = _mark("dst")
+    kids = pairs.groupBy(F.col("src").alias("id")).agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    kids = cut(kids.join(ends.hinted().select("id"), "id"))
+    marks = ends.df.select(F.col("id").alias("only"), _mark("id").alias("mark"))
+    shared = cut(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
+    owned = kids.df.where("low = high").select("id", F.col("low").alias("mark"))
+    if not shared.empty:
+        owned = owned.join(shared.hinted(), "mark", "left_anti")
+    single = cut(marks.join(owned, "mark").select("id", "only"))
+    several = cut(kids.df.select("id").join(single.hinted().select("id"), "id", "left_anti"))
+    onward = single.df.select(F.col("id").alias("src"), F.col("only").alias("dst"))
+    if not several.empty:
+        onward = onward.unionByName(pairs.join(several.hinted(), F.col("src") == F.col("id"), "left_semi").distinct())
+        onward = cut(onward).df
+    core = cut(onward.select(F.col("dst").alias("id")).unionByName(several.df.select("id")).distinct())
+    inner = cut(onward.join(core.hinted(), F.col("src") == F.col("id"), "left_semi"))
+    head = single.df.select("id", F.col("only").alias("head")).unionByName(several.df.select("id", F.col("id").alias("head")))
+    targets = ends.df.join(head, "id", "left").join(core.hinted().withColumn("_in", F.lit(True)), "id", "left")
+    count = ends.df.agg(F.sum("uses").alias("n")).first()["n"] or 0
+    return Heads(pairs, count, cut(targets.select("id", "uses", "head", F.col("_in").isNotNull().alias("inside"))), core, inner)
 
 
 def _words(df: DataFrame, node: str, member: str) -> DataFrame:
     """(node, word, bits) that sets the bit of ``member`` in the set of ``node``."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(member).bitwiseAND(F.lit(63)).cast("int"))
-    return df.select(F.col(node).alias("node"), F.shiftright(member, 6).alias("word"), bit.alias("bits"))
+    return df.select(F.col(node).alias("node"), F.shiftright(member, 6).alias("word"), _bit(member).alias("bits"))
+
+
+def _bit(member: str):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(member).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, num), (s, d)): every end of a link with its number, most linked first, and the distinct links between numbers."""
-    pairs = cut(links.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()).df
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg((-F.count(F.lit(1))).alias("rare"))
-    ids = cut(global_positions(ends, ["rare", "id"], "num").select("id", "num"))
-    one = ids.hinted()
-    edges = pairs.join(one.select(F.col("id").alias("src"), F.col("num").alias("s")), "src").join(one.select(F.col("id").alias("dst"), F.col("num").alias("d")), "dst")
-    return ids.df, cut(edges.select("s", "d")).df
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    return union_all(parts).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _members(sets: DataFrame, *keep: str) -> DataFrame:
+    """One row for each bit that is set, with the columns ``keep`` and its ``num``."""
+    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return sets.select(*keep, "word", F.explode(there).alias("_i")).select(*keep, (F.col("word") * 64 + F.col("_i")).alias("num"))
 
 
 def _levelled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -69,50 +125,88 @@ def _contracted(df: DataFrame, comps: DataFrame, columns: list[str]) -> DataFram
     return df
 
 
-def _sizes(edges: DataFrame, own: DataFrame | None, node: str, other: str, at: str, levels: list[int], needed: str) -> DataFrame:
-    """(node, n): bits of each node's set, where sets pass from ``other`` to ``node`` in the order of ``levels``.
-
-    Links whose ``needed`` is true lead to nodes whose set someone else inherits; only those are stored.
-    """
+def _sets(nodes: DataFrame, edges: DataFrame) -> tuple[Cut, DataFrame | None]:
+    """((node, word, bits): the number of each node and of all it reaches, (node) of nodes on cycles or None)."""
+    levelled, comps = _levelled(edges)
+    tops = levelled.groupBy(F.col("s").alias("_n")).agg((F.max("level") + 1).alias("at"))
+    ready = cut(levelled.join(tops, F.col("s") == F.col("_n")).select("s", "d", "at")).df
+    top = ready.agg(F.max("at").alias("n")).first()["n"] or 0
+    own = _words(nodes, "num", "num")
+    if comps is not None:
+        in_cycle = _words(comps, "comp", "node").groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+        own = cut(own.join(comps.select("node"), "node", "left_anti").unionByName(in_cycle)).df
     stored: list[DataFrame] = []
+    for at in range(1, top + 1):
+        part = ready.where(F.col("at") == at).select("s", "d")
+        below = union_all([own, *stored]).withColumnRenamed("node", "d")
+        got = cut(_joined([part.join(below, "d").select(F.col("s").alias("node"), "word", "bits")]))
+        stored.append(got.df)
+    reach = _joined([own, *stored])
+    if comps is None:
+        return cut(reach), None
+    shown = comps.select(F.col("node").alias("_member"), F.col("comp").alias("node")).join(reach, "node")
+    alone = reach.join(comps.select("node"), "node", "left_anti")
+    return cut(alone.unionByName(shown.select(F.col("_member").alias("node"), "word", "bits"))), comps.select("node")
+
+
+@dataclass(frozen=True)
+class _Numbered:
+    """``targets`` (id, num, cls: the number of the head); ``sets`` (node, word, bits) of the core; ``looped`` (id, num) or None."""
+
+    targets: Cut
+    sets: Cut
+    looped: Cut | None
+
+
+def _numbered(h: Heads) -> _Numbered:
+    order = h.targets.df.select((~F.col("inside")).alias("outside"), (-F.col("uses")).alias("rare"), "id", "head")
+    nums = cut(global_positions(order, ["outside", "rare", "id"], "num").select("id", "head", "num", "outside"))
+    core = cut(nums.df.where(~F.col("outside")).select("id", "num"))
+    name = lambda i, n: core.hinted().select(F.col("id").alias(i), F.col("num").alias(n))
+    edges = cut(h.inner.df.join(name("src", "s"), "src").join(name("dst", "d"), "dst").select("s", "d")).df
+    sets, looped = _sets(core.df.select("num"), edges)
+    targets = cut(nums.df.join(name("head", "cls"), "head", "left").select("id", "num", "cls"))
+    if looped is not None:
+        looped = cut(core.df.join(looped, F.col("num") == F.col("node")).select("id", "num"))
+    return _Numbered(targets, sets, looped)
+
+
+def _gathered(near: DataFrame, extra: list[str], count: int) -> DataFrame:
+    """(src, key, far, extra): each source's targets by ``num`` and, marked ``far``, heads by ``cls``, once each, the rows of a source together.
+
+    Heads are dealt out after the links moved, so that a link is one row on its way.
+    """
+    none = [F.lit(None).cast(near.schema[c].dataType).alias(c) for c in extra]
+    both = F.array(F.struct(F.col("num").alias("key"), F.lit(False).alias("far"), *extra), F.struct(F.col("cls").alias("key"), F.lit(True).alias("far"), *none))
+    tasks = -(-count // TASK_LINKS)
+    few = tasks <= int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = near.repartition("src") if few else near.repartition(tasks, "src")
+    rows = moved.select("src", F.explode(both).alias("_r")).select("src", "_r.*")
+    return rows.where("key IS NOT NULL").distinct()
+
 
-    def sets(part: DataFrame) -> DataFrame:
-        members = part if own is None else part.join(own.select(F.col("node").alias(other)), other, "left_anti")
-        gains = [_words(members, node, other)]
-        if own is not None:
-            gains.append(part.join(own.withColumnRenamed("node", other), other).select(F.col(node).alias("node"), "word", "bits"))
-        if stored:
-            below = union_all(stored).withColumnRenamed("node", other)
-            gains.append(part.join(below, other).select(F.col(node).alias("node"), "word", "bits"))
-        return union_all(gains).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
-
-    for level in levels:
-        got = cut(sets(edges.where((F.col(at) == level) & F.col(needed))))
-        if not got.empty:
-            stored.append(got.df)
-    parts = [*stored, sets(edges.where(~F.col(needed)))]
-    return union_all([p.groupBy("node").agg(F.sum(F.bit_count("bits")).alias("n")) for p in parts])
-
-
-def closure_counts(links: DataFrame) -> DataFrame:
+def closure_counts(links: DataFrame, heads: Heads | None = None) -> DataFrame:
     """(id, downstream, upstream) of every end of a link that joins two nodes."""
-    ids, edges = _numbered(links)
-    levelled, comps = _levelled(edges)
-    tops = levelled.groupBy(F.col("s").alias("_n")).agg((F.max("level") + 1).alias("up_level"))
-    ends = levelled.select(F.col("d").alias("_m")).distinct()
-    # s is needed when something reaches it, d when it reaches something (a level above 0)
-    ready = levelled.join(tops, F.col("s") == F.col("_n")).join(ends, F.col("s") == F.col("_m"), "left")
-    ready = cut(ready.select("s", "d", "up_level", "level", F.col("_m").isNotNull().alias("s_needed"), (F.col("level") > 0).alias("d_needed"))).df
-    top = ready.agg(F.max("up_level").alias("n")).first()["n"] or 0
-    own = None
-    if comps is not None:
-        own = cut(_words(comps, "comp", "node").groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))).df
-    down = _sizes(ready, own, "s", "d", "up_level", list(range(1, top)), "s_needed").withColumnRenamed("n", "downstream")
-    up = _sizes(ready, own, "d", "s", "level", list(range(top - 1, 0, -1)), "d_needed").withColumnRenamed("n", "upstream")
-    named = ids.select("id", "num", F.lit(0).alias("mates"), F.col("num").alias("node"))
-    if comps is not None:
-        sizes = comps.groupBy("comp").agg((F.count(F.lit(1)) - 1).alias("mates"))
-        member = comps.join(sizes, "comp").select(F.col("node").alias("num"), "mates", F.col("comp").alias("node"))
-        named = ids.join(member, "num", "left").select("id", "num", F.coalesce("mates", F.lit(0)).alias("mates"), F.coalesce("node", "num").alias("node"))
-    total = lambda c: (F.coalesce(c, F.lit(0)) + F.col("mates")).cast("long").alias(c)
-    return named.join(down, "node", "left").join(up, "node", "left").select("id", total("downstream"), total("upstream"))
+    h = heads or heads_of(links)
+    n = _numbered(h)
+    near = h.pairs.join(n.targets.hinted().withColumnRenamed("id", "dst"), "dst").select("src", "num", "cls")
+    sets = n.sets.hinted().select(F.col("node").alias("_node"), F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    rows = _gathered(near, [], h.count).join(sets, F.col("far") & (F.col("key") == F.col("_node")), "left")
+    own = lambda c, e: F.when(F.col("far"), F.col(c)).otherwise(e)
+    rows = rows.select("src", own("_word", F.shiftright("key", 6)).alias("word"), own("_bits", _bit("key")).alias("bits"))
+    reach = rows.groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+    # one row for the source's own count and one for the word, whose equals are added up before its bits are taken apart
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    down = F.struct(F.col("src").alias("id"), none("word", "long"), none("bits", "long"), F.bit_count("bits").cast("long").alias("n"))
+    up = F.struct(none("id", "string"), F.col("word"), F.col("bits"), F.lit(1).cast("long").alias("n"))
+    tally = reach.select(F.explode(F.array(down, up)).alias("_r")).select("_r.*").groupBy("id", "word", "bits").agg(F.sum("n").alias("n"))
+    tally = cut(tally).df
+    above = _members(tally.where("id IS NULL"), "n").groupBy("num").agg(F.sum("n").alias("n")).join(n.targets.df.select("id", "num"), "num")
+    zero = F.lit(0).cast("long")
+    sums = [
+        tally.where("id IS NOT NULL").select("id", F.col("n").alias("downstream"), zero.alias("upstream")),
+        above.select("id", zero.alias("downstream"), F.col("n").alias("upstream")),
+    ]
+    if n.looped is not None:  # what lies on a cycle reached itself
+        sums.append(n.looped.df.select("id", (zero - 1).alias("downstream"), (zero - 1).alias("upstream")))
+    return union_all(sums).groupBy("id").agg(F.sum("downstream").alias("downstream"), F.sum("upstream").alias("upstream"))
