@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from refloom.operators.scc import cycle_members
 from refloom.plans.ordering import global_positions
-from refloom.plans.runtime import Cut, cut, union_all
+from refloom.plans.runtime import Cut, cut, join_frontier, union_all
 
 
 # A task that puts together what sources reach gets about this many links, so that its tables fit into memory.
@@ -210,3 +210,49 @@ def closure_counts(links: DataFrame, heads: Heads | None = None) -> DataFrame:
     if n.looped is not None:  # what lies on a cycle reached itself
         sums.append(n.looped.df.select("id", (zero - 1).alias("downstream"), (zero - 1).alias("upstream")))
     return union_all(sums).groupBy("id").agg(F.sum("downstream").alias("downstream"), F.sum("upstream").alias("upstream"))
+
+
+def _spread_sketches(start: DataFrame, links: DataFrame) -> Cut:
+    """(id, sk): the union of each node's sketch with those of all that lead to it along ``links`` (src, dst)."""
+    state = changed = cut(start)
+    while not changed.empty:
+        pushed = join_frontier(changed, links, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("pid")).agg(F.hll_union_agg("sk").alias("got"))
+        both = F.hll_union("sk", "got")
+        grown = state.df.join(pushed, F.col("id") == F.col("pid"), "left").select(
+            "id",
+            F.when(F.col("got").isNull(), F.col("sk")).otherwise(both).alias("sk"),
+            (F.col("got").isNotNull() & (F.hll_sketch_estimate(both) > F.hll_sketch_estimate("sk"))).alias("grew"),
+        )
+        merged = cut(grown)
+        state = Cut(merged.df.select("id", "sk"), merged.rows, merged.nbytes)
+        changed = cut(merged.df.where("grew").select("id", "sk"))
+    return state
+
+
+def sketch_counts(links: DataFrame, lg_k: int, heads: Heads | None = None) -> DataFrame:
+    """(id, downstream, upstream), estimated, of every end of a link that joins two nodes: rounds move sketches of the core alone."""
+    h = heads or heads_of(links)
+    core, inner = h.core.df.select("id"), h.inner.df
+    sketch = lambda c: F.hll_sketch_agg(c, F.lit(lg_k))
+    targets = h.targets.hinted().select(F.col("id").alias("dst"), "head", "inside")
+    near = h.pairs.join(targets, "dst")
+    # only what lies on a cycle may reach itself, and all of that is in the core: there a node counts itself, which is taken off again
+    selves = core.select(F.col("id").alias("src"), F.col("id").alias("num"), F.lit(None).cast("string").alias("cls"), F.lit(1).alias("self"))
+    behind = _spread_sketches(core.groupBy("id").agg(sketch("id").alias("sk")), inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    far = behind.hinted().select(F.col("id").alias("_id"), "sk")
+    rows = near.select("src", F.col("dst").alias("num"), F.col("head").alias("cls"), F.lit(0).alias("self")).unionByName(selves)
+    rows = _gathered(rows, ["self"], h.count).join(far, F.col("far") & (F.col("key") == F.col("_id")), "left")
+    per = rows.groupBy(F.col("src").alias("id")).agg(
+        sketch(F.when(~F.col("far"), F.col("key"))).alias("a"), F.hll_union_agg("sk").alias("b"), F.count("sk").alias("heads"), F.max("self").alias("self")
+    )
+    size = F.when(F.col("heads") == 0, F.hll_sketch_estimate("a")).otherwise(F.hll_sketch_estimate(F.hll_union("a", "b")))
+    down = per.select("id", (size - F.coalesce("self", F.lit(0))).alias("downstream"), F.lit(0).cast("long").alias("upstream"))
+    # sources of a target outside the core are also sources of its head
+    keys = F.array("dst", F.when(~F.col("inside"), F.col("head")))
+    direct = near.select("src", F.explode(keys).alias("id")).where("id IS NOT NULL").unionByName(core.select(F.col("id").alias("src"), "id"))
+    met = cut(direct.groupBy("id").agg(sketch("src").alias("sk"))).df
+    flagged = met.join(h.core.hinted().withColumn("_in", F.lit(1)), "id", "left")
+    above = _spread_sketches(flagged.where("_in IS NOT NULL").select("id", "sk"), inner).df.select("id", "sk", F.lit(1).alias("self"))
+    above = above.unionByName(flagged.where("_in IS NULL").select("id", "sk", F.lit(0).alias("self")))
+    up = above.select("id", F.lit(0).cast("long").alias("downstream"), (F.hll_sketch_estimate("sk") - F.col("self")).alias("upstream"))
+    return down.unionByName(up).groupBy("id").agg(F.sum("downstream").alias("downstream"), F.sum("upstream").alias("upstream"))
