@@ -212,6 +212,23 @@ def closure_counts(links: DataFrame, heads: Heads | None = None) -> DataFrame:
     return union_all(sums).groupBy("id").agg(F.sum("downstream").alias("downstream"), F.sum("upstream").alias("upstream"))
 
 
+def report_by_type(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, type, n, total_size) of what each root reaches; ``nodes`` has the (id, type, size) that count."""
+    h = heads_of(links)
+    n = _numbered(h)
+    facts = n.targets.df.join(nodes.withColumn("there", F.lit(True)), "id", "left")
+    near = h.pairs.join(facts.withColumnRenamed("id", "dst"), "dst").where("there OR cls IS NOT NULL").select("src", "num", "there", "type", "size", "cls")
+    behind = cut(_members(n.sets.df, "node").join(facts.where("there").select("num", "type", "size"), "num")).hinted()
+    behind = behind.select(F.col("node").alias("_node"), F.col("num").alias("_num"), F.col("type").alias("_type"), F.col("size").alias("_size"))
+    rows = _gathered(near, ["there", "type", "size"], h.count).join(behind, F.col("far") & (F.col("key") == F.col("_node")), "left")
+    own = lambda a, b: F.when(F.col("far"), F.col(a)).otherwise(F.col(b)).alias(b)
+    rows = rows.where("there OR _num IS NOT NULL").select(F.col("src").alias("root"), own("_num", "key"), own("_type", "type"), own("_size", "size"))
+    if n.looped is not None:
+        rows = rows.join(n.looped.hinted().select(F.col("id").alias("root"), F.col("num").alias("key")), ["root", "key"], "left_anti")
+    per = rows.distinct().groupBy("root", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size"))
+    return per.join(roots.select(F.col("id").alias("root")).distinct(), "root", "left_semi")
+
+
 def _spread_sketches(start: DataFrame, links: DataFrame) -> Cut:
     """(id, sk): the union of each node's sketch with those of all that lead to it along ``links`` (src, dst)."""
     state = changed = cut(start)
